@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.ppm import PpmModels, folded
 from granary.llm.seeds import LABELS, NO_LABEL, SEED_TEXTS, SEED_WORDS
-from granary.functions.frames import plain
+from granary.functions.frames import emit
 from granary.session import spread
 
 #: Bound of the training sample: texts taken, in the order of a hash of their content, and bytes for each language.
@@ -128,7 +128,7 @@ def segments(messages: DataFrame, models: PpmModels, keys: list[str], text: str
                 else:
                     out.append([n, out[-1][1] + 1 if out and out[-1][0] == n else 0, lang, [(b - a, p)], b, a])
             rows = batch.iloc[[r[0] for r in out]].drop(columns="__text").reset_index(drop=True)
-            yield plain(rows.assign(
+            yield from emit(rows.assign(
                 segment_no=pd.Series([r[1] for r in out], dtype="int64"),
                 lang=pd.Series([r[2] for r in out], dtype="object"),
                 confidence=pd.Series([sum(w * p for w, p in r[3]) / max(1, sum(w for w, _ in r[3])) for r in out], dtype="float64"),

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.frames import plain
+from granary.functions.frames import emit
 from granary.session import spread
 
 #: Words in a row that make a leak, one of which may be altered, dropped or added.
@@ -246,7 +246,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
             index = held.value
             for b in batches:
                 found = [(d, index.ids[i], n) for d, t in zip(b[key], b["text"]) for i, n in index.leaks(t)]
-                yield plain(pd.DataFrame({key: pd.Series([f[0] for f in found], dtype=b[key].dtype), item_key: [f[1] for f in found], "words": pd.Series([f[2] for f in found], dtype="int64")}))
+                yield from emit(pd.DataFrame({key: pd.Series([f[0] for f in found], dtype=b[key].dtype), item_key: [f[1] for f in found], "words": pd.Series([f[2] for f in found], dtype="int64")}))
 
         part = rows.mapInPandas(run, f"{key} {dkind}, {item_key} {kind}, words long")
         out = part if out is None else out.unionByName(part)

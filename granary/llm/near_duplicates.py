@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from granary.llm.pair_defects import once
 from granary.llm.similar import SIMILARITY, TokenHashes, may_be_similar, said_by, signed, tokens, verified, word_table
 from granary.operators.components import connected_components
-from granary.functions.frames import plain
+from granary.functions.frames import emit
 from granary.session import written
 
 #: Classes of the tokens that are indexed by pairs.
@@ -45,10 +45,10 @@ def token_numbers(table: DataFrame, most: int = DICTIONARY, rare: int = RARE) ->
             for said in b["said"]:
                 counts.update(tokens(said.split(" ")))
             if len(counts) > 500_000:
-                yield plain(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
+                yield from emit(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
                 counts = Counter()
         if counts:
-            yield plain(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
+            yield from emit(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
 
     found = table.select("said").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
     return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "token").limit(most).collect()}
@@ -108,7 +108,7 @@ def candidate_pairs(reps: DataFrame, t: float = SIMILARITY) -> DataFrame:
                 at.extend([n] * len(s))
             part = b[["id", "n", "s1", "s2"]].iloc[at].reset_index(drop=True)
             part.insert(0, "sig", pd.Series(sigs, dtype="int64"))
-            yield plain(part)
+            yield from emit(part)
 
     index = reps.select("id", "said", "n", "s1", "s2").mapInPandas(run, "sig long, id string, n int, s1 long, s2 long")
     a, b = index.alias("a"), index.alias("b")

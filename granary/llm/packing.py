@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.frames import plain
+from granary.functions.frames import emit, plain
 from granary.session import spread, written
 
 #: A file of a public tokenizer, one base64 token and its rank in a line; must be at the same path on every executor.
@@ -66,7 +66,7 @@ def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZE
             total, bearing = np.zeros(len(b), "int64"), np.zeros(len(b), "int64")
             np.add.at(total, owner, sizes)
             np.add.at(bearing, owner, [s if q else 0 for s, q in zip(sizes, loss)])
-            yield plain(pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing}))
+            yield from emit(pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing}))
 
     return spread(texts.select(key, "parts")).mapInPandas(run, f"{key} {kind}, tokens long, loss_tokens long")
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.frames import plain
+from granary.functions.frames import emit
 from granary.functions.words import words
 
 #: Similarity from which two records are near-duplicates (given by the data's statement of the problem).
@@ -100,7 +100,7 @@ def word_table(texts: DataFrame, extra: list[str] | None = None) -> DataFrame:
             out["n"] = out["n"].astype("int32")
             for c in ("h1", "h2", "s1", "s2"):
                 out[c] = out[c].astype("int64")
-            yield plain(pd.concat([part[["id"]], out, part[extra]], axis=1))
+            yield from emit(pd.concat([part[["id"]], out, part[extra]], axis=1))
 
     return texts.select("id", "contents", *extra).mapInPandas(run, ", ".join([WORD_TABLE, *kinds]))
 
@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, table: DataFrame, other: DataFrame | None = None,
         for b in batches:
             s = [similarity(x.split(" "), y.split(" ")) for x, y in zip(b["said_a"], b["said_b"])]
             out = b.drop(columns=["said_a", "said_b"]).assign(similarity=pd.Series(s, index=b.index, dtype="float64"))
-            yield plain(out[out["similarity"] >= t - 1e-12])
+            yield from emit(out[out["similarity"] >= t - 1e-12])
 
     return both.mapInPandas(run, f"a string, b string{kinds}, similarity double")
 
