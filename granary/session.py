@@ -91,3 +91,9 @@ def _remove_written() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may have ended before
             return
+
+
+def enough_tasks(df: DataFrame) -> DataFrame:
+    """The rows as they are read where that gives every core a task; dealt out only where a few files would not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else spread(df, per_core=1)
