@@ -9,18 +9,16 @@ whose sizes and sketches allow the similarity, are verified word by word. Nothin
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.pair_defects import once
-from granary.llm.similar import SIMILARITY, TokenHashes, may_be_similar, said_by, signed, tokens, verified, word_table
+from granary.llm.similar import SIMILARITY, SKETCH, may_be_similar, record_words, tokens, verified
 from granary.operators.components import connected_components
-from granary.functions.frames import emit
 from granary.session import written
 
 #: Classes of the tokens that are indexed by pairs.
@@ -42,48 +40,76 @@ def token_numbers(table: DataFrame, most: int = DICTIONARY, rare: int = RARE) ->
     def run(batches):
         counts: Counter = Counter()
         for b in batches:
-            for said in b["said"]:
+            for said in b.column("said").to_pylist():
                 counts.update(tokens(said.split(" ")))
             if len(counts) > 500_000:
-                yield from emit(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
                 counts = Counter()
         if counts:
-            yield from emit(pd.DataFrame({"token": list(counts), "n": list(counts.values())}))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
-    found = table.select("said").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
+    found = table.select("said").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
     return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "token").limit(most).collect()}
 
 
-def signatures(ts: list[str], hashes: TokenHashes, rank: dict[str, int], t: float = SIMILARITY, classes: int = CLASSES) -> set[int]:
-    """The combinations that a token set is indexed by."""
-    n = len(ts)
-    lacking = n - math.ceil(t * n - 1e-9)
-    order = sorted((rank.get(x, -1), hashes[x]) for x in ts)
-    out: set[int] = set()
-    if n <= SHORT:
-        out.update(h * 3 + 1 for _, h in order[: lacking + 1])
-    by_class: dict[int, list[int]] = {}
-    got = 0
-    for r, h in order:
-        if got > lacking:
-            break
-        if r < 0:
-            out.add(h * 3 + 2)
-            got += 1
-        else:
-            c = by_class.setdefault((h >> 20) % classes, [])
-            c.append(h)
-            got += len(c) > 1
-    for c in by_class.values():
-        if len(c) > 1:
-            out.update((x * 0x9E3779B97F4A7C15 ^ y * 0xC2B2AE3D27D4EB4F) * 3 for x, y in combinations(sorted(c), 2))
-    return {signed(s) for s in out}
+class Order:
+    """The global order of tokens: unlisted ones first, by their hash, then the listed ones, rarest first."""
+
+    def __init__(self, numbers: dict[str, int], classes: int = CLASSES):
+        listed = sorted(numbers, key=lambda x: (numbers[x], x))
+        self.rank = {x: k for k, x in enumerate(listed)}
+        self.hash = np.array([xxhash.xxh3_64_intdigest(x) for x in listed], np.uint64)
+        self.classes = classes
+        self.of = (self.hash >> np.uint64(20)) % np.uint64(classes)
+
+    def signatures(self, sets: list[list[str]], t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+        """(set number, signature) of the combinations that each token set is indexed by, for many sets at once."""
+        size = np.array([len(s) for s in sets], np.int64)
+        lacking = size - np.ceil(t * size - 1e-9).astype(np.int64)
+        rank_of = self.rank.get
+        # the place in the order: listed tokens by rank, others below zero by their hash
+        place = np.fromiter((r if (r := rank_of(x)) is not None else -1 - (xxhash.xxh3_64_intdigest(x) >> 2) for s in sets for x in s), np.int64, int(size.sum()))
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.lexsort((place, owner))
+        place, owner = place[order], owner[order]
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        listed = place >= 0
+        hashes = np.where(listed, 0, (-1 - place) << 2).astype(np.uint64)
+        hashes[listed] = self.hash[place[listed]]
+        group = owner * self.classes
+        group[listed] += self.of[place[listed]].astype(np.int64)
+        # every token counts but the first of its class in its set: a class of pairs needs two to be met
+        counts = np.ones(len(place), np.int64)
+        at = np.flatnonzero(listed)
+        counts[at[np.unique(group[at], return_index=True)[1]]] = 0
+        before = np.cumsum(counts) - counts
+        before -= np.repeat(before[start[size > 0]], size[size > 0])
+        keep = before <= np.repeat(lacking, size)
+        sets_out, sigs = [owner[keep & ~listed]], [_mix(hashes[keep & ~listed], 1)]
+        # short sets are indexed by single tokens besides
+        short = (np.arange(len(place)) - np.repeat(start, size) <= np.repeat(lacking, size)) & np.repeat(size <= SHORT, size)
+        sets_out.append(owner[short])
+        sigs.append(_mix(hashes[short], 2))
+        at = np.flatnonzero(keep & listed)
+        at = at[np.argsort(group[at], kind="stable")]
+        _, first, many = np.unique(group[at], return_index=True, return_counts=True)
+        for m in np.unique(many[many > 1]):
+            rows = at[first[many == m][:, None] + np.arange(m)]
+            h = np.sort(hashes[rows], axis=1)
+            i, j = np.triu_indices(m, 1)
+            sigs.append(_mix(h[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ _mix(h[:, j], 3), 4).ravel())
+            sets_out.append(np.repeat(owner[rows[:, 0]], len(i)))
+        return np.concatenate(sets_out), np.concatenate(sigs).view(np.int64)
+
+
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)
+    return x ^ (x >> np.uint64(29))
 
 
 def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep, copies) and representatives (the word table of one id, the smallest, for each text class)."""
-    texts = once(records).select("id", said_by().alias("contents"))
-    table = written(word_table(texts))
+    table = record_words(records)
     groups = table.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     doubled = groups.filter("copies > 1")
     # Only the classes of several copies need a join, and their keys alone; the others are their own representatives.
@@ -94,23 +120,18 @@ def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidate_pairs(reps: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(a, b), a < b: representatives that share a combination and may be similar."""
-    numbers = token_numbers(reps)
-    order = {x: k for k, (x, _) in enumerate(sorted(numbers.items(), key=lambda kv: (kv[1], kv[0])))}
-    held = reps.sparkSession.sparkContext.broadcast(order)
+    held = reps.sparkSession.sparkContext.broadcast(Order(token_numbers(reps)))
 
     def run(batches):
-        hashes, rank = TokenHashes(), held.value
+        order = held.value
         for b in batches:
-            at, sigs = [], []
-            for n, said in enumerate(b["said"]):
-                s = signatures(tokens(said.split(" ")), hashes, rank, t)
-                sigs.extend(s)
-                at.extend([n] * len(s))
-            part = b[["id", "n", "s1", "s2"]].iloc[at].reset_index(drop=True)
-            part.insert(0, "sig", pd.Series(sigs, dtype="int64"))
-            yield from emit(part)
-
-    index = reps.select("id", "said", "n", "s1", "s2").mapInPandas(run, "sig long, id string, n int, s1 long, s2 long")
+            for part in (b.slice(k, 2_000) for k in range(0, b.num_rows, 2_000)):
+                owner, sigs = order.signatures([tokens(s.split(" ")) for s in part.column("said").to_pylist()], t)
+                by = np.argsort(owner, kind="stable")
+                take = pa.array(owner[by])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[by]), *[part.column(c).take(take) for c in ("id", "n", *SKETCH)]], names=["sig", "id", "n", *SKETCH])
+
+    index = reps.select("id", "said", "n", *SKETCH).mapInArrow(run, "sig long, id string, n int, " + ", ".join(f"{s} long" for s in SKETCH))
     a, b = index.alias("a"), index.alias("b")
     met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", t))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -1,30 +1,41 @@
 """Words, sketches and exact similarity of records, shared by the near-duplicate and the cross-split operators.
 
 The similarity of two texts is shared words / all words, both counted with repetition. With the n-th occurrence of a
-word as its own token, it is the Jaccard similarity of two sets. A sketch of 128 parity bits never differs in more bits
+word as its own token, it is the Jaccard similarity of two sets. A sketch of 512 parity bits never differs in more bits
 than the two sets differ in tokens, so it can rule a pair out and never loses one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import Counter
+from functools import reduce
+from operator import add, xor
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.frames import emit
 from granary.functions.words import words
+from granary.session import enough_tasks, written
 
 #: Similarity from which two records are near-duplicates (given by the data's statement of the problem).
 SIMILARITY = 0.7
 _M64 = (1 << 64) - 1
+ROLES = ("user", "assistant")
+#: Longs of a sketch. Few bits rule nothing out where the sets are large: 128 bits are full at some 200 tokens.
+LONGS = 8
+SKETCH = [f"s{k}" for k in range(1, LONGS + 1)]
 
 
 def tokens(ws: list[str]) -> list[str]:
     """The words as a set: a repeated word carries the number of its occurrence."""
+    if len(set(ws)) == len(ws):
+        return ws
     seen: dict[str, int] = {}
     out = []
     for w in ws:
@@ -39,28 +50,22 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class TokenHashes:
-    """64-bit hashes of tokens, kept for tokens met before, up to a bound."""
+class TokenMasks(dict):
+    """The parity bit of each token as a mask, kept for tokens met before, up to a bound."""
 
-    def __init__(self, most: int = 300_000):
-        self.kept: dict[str, int] = {}
-        self.most = most
+    most = 300_000
 
-    def __getitem__(self, token: str) -> int:
-        h = self.kept.get(token)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(token)
-            if len(self.kept) < self.most:
-                self.kept[token] = h
-        return h
+    def __missing__(self, token: str) -> int:
+        mask = 1 << (xxhash.xxh3_64_intdigest(token) % (64 * LONGS))
+        if len(self) < self.most:
+            self[token] = mask
+        return mask
 
 
-def parity(hashes: list[int]) -> tuple[int, int]:
-    """128 parity bits of a token set, as two signed longs."""
-    bits = 0
-    for h in hashes:
-        bits ^= 1 << (h & 127)
-    return signed(bits), signed(bits >> 64)
+def parity(ts: list[str], masks: TokenMasks) -> tuple[int, ...]:
+    """The parity bits of a token set, as signed longs."""
+    bits = reduce(xor, map(masks.__getitem__, ts), 0)
+    return struct.unpack(f"<{LONGS}q", bits.to_bytes(8 * LONGS, "little"))
 
 
 def similarity(a: list[str], b: list[str]) -> float:
@@ -71,52 +76,92 @@ def similarity(a: list[str], b: list[str]) -> float:
     return shared / every if every else 0.0
 
 
-WORD_TABLE = "id string, said string, n int, h1 long, h2 long, s1 long, s2 long"
+_TABLE = "id string, key string, kind int, said string, n int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
+_ARROW = [("id", pa.string()), ("key", pa.string()), ("kind", pa.int32()), ("said", pa.string()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *[(s, pa.int64()) for s in SKETCH]]
 
 
-def word_table(texts: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """id, said (the words, blank between), n, h1, h2 (hash of the multiset), s1, s2 (sketch), and extra columns.
+def _word_rows(rows: DataFrame, extra: list[str], messages_of: str | None) -> DataFrame:
+    """For each row (key, roles, contents, extra) the words of its user and assistant messages as kind 0.
 
-    texts has id and contents (array of strings). Texts without words are left out: nothing is similar to them.
+    Where the column messages_of is true, each user message is a text of its own besides, kind 1.
     """
-    extra = extra or []
-    kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in extra]
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches):
-        hashes = TokenHashes()
-        for b in batches:
-            keep, rows = [], []
-            for n, contents in enumerate(b["contents"]):
-                ws = [w for c in (contents if contents is not None else ()) if c for w in words(c)]
-                if not ws:
-                    continue
-                hs = [hashes[t] for t in tokens(ws)]
+        masks = TokenMasks()
+
+        def add(out, at, n, name, key, kind, ws):
+            ts = tokens(ws)
+            h1 = h2 = 0
+            if kind == 0:
                 whole = hashlib.blake2b("\n".join(sorted(ws)).encode(), digest_size=16).digest()
-                s1, s2 = parity(hs)
-                keep.append(n)
-                rows.append((" ".join(ws), len(ws), signed(int.from_bytes(whole[:8], "big")), signed(int.from_bytes(whole[8:], "big")), s1, s2))
-            part = b.iloc[keep].reset_index(drop=True)
-            out = pd.DataFrame(rows, columns=["said", "n", "h1", "h2", "s1", "s2"])
-            out["n"] = out["n"].astype("int32")
-            for c in ("h1", "h2", "s1", "s2"):
-                out[c] = out[c].astype("int64")
-            yield from emit(pd.concat([part[["id"]], out, part[extra]], axis=1))
+                h1, h2 = int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
+            at.append(n)
+            for column, v in zip(out, (name, key, kind, " ".join(ws), len(ws), h1, h2, *parity(ts, masks))):
+                column.append(v)
 
-    return texts.select("id", "contents", *extra).mapInPandas(run, ", ".join([WORD_TABLE, *kinds]))
+        for b in batches:
+            out: list[list] = [[] for _ in _ARROW]
+            at: list[int] = []
+            own = b.column(messages_of).to_pylist() if messages_of else None
+            for n, (key, roles, contents) in enumerate(zip(b.column("key").to_pylist(), b.column("roles").to_pylist(), b.column("contents").to_pylist())):
+                every: list[str] = []
+                for k, (role, c) in enumerate(zip(roles or (), contents or ())):
+                    if role in ROLES and c and (ws := words(c)):
+                        every += ws
+                        if own and own[n] and role == "user":
+                            add(out, at, n, f"{key}#{k}", key, 1, ws)
+                if every:
+                    add(out, at, n, key, key, 0, every)
+            if at:
+                take = pa.array(at, pa.int64())
+                columns = [pa.array(v, t) for v, (_, t) in zip(out, _ARROW)] + [b.column(c).take(take) for c in extra]
+                yield pa.RecordBatch.from_arrays(columns, names=[c for c, _ in _ARROW] + extra)
+
+    return rows.mapInArrow(run, _TABLE + kinds)
+
+
+def record_words(records: DataFrame, extra: dict[str, Column] | None = None, messages_of: Column | None = None) -> DataFrame:
+    """The word table of a record table, one delivery of each id; see _word_rows for its columns.
+
+    Words are made before anything is shuffled; deliveries are told apart by their keys alone, and only the few rows of
+    later deliveries are taken out by a join. Texts without words are left out: nothing is similar to them.
+    """
+    extra = extra or {}
+    rows = records.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("key"),
+        F.transform("messages", lambda m: m["role"]).alias("roles"),
+        F.transform("messages", lambda m: m["content"]).alias("contents"),
+        F.col("ingested_at").alias("at"),
+        *[c.alias(name) for name, c in extra.items()],
+        *([messages_of.alias("own")] if messages_of is not None else []),
+    )
+    rows = enough_tasks(rows).withColumn("uid", F.monotonically_increasing_id())
+    table = written(_word_rows(rows, ["uid", "at", *extra], "own" if messages_of is not None else None))
+    one = table.filter("kind = 0").select("key", "uid", "at")
+    first = one.groupBy("key").agg(F.min_by("uid", F.struct(F.col("at").isNull(), "at", "uid")).alias("uid"), F.count("*").alias("c"))
+    again = one.join(first.filter("c > 1").select("key", F.col("uid").alias("first")), "key").filter("uid <> first").select("uid")
+    return table.join(again, "uid", "left_anti").drop("uid", "at")
+
+
+def plain_words(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """The word table of rows (key, roles, contents, extra) as they are."""
+    return _word_rows(rows, extra, None)
 
 
 def may_be_similar(a: str, b: str, t: float = SIMILARITY) -> Column:
     """Whether sizes and sketches of two aliased word tables allow a similarity of t; never false for such a pair."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    return (bits <= (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)) & (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9))
+    bits = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
+    most = (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)
+    return (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9)) & (reduce(add, bits[:2]) <= most) & (reduce(add, bits) <= most)
 
 
-def verified(pairs: DataFrame, table: DataFrame, other: DataFrame | None = None, t: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, table: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity, and what else pairs hold) of the pairs whose exact similarity is at least t."""
     extra = [c for c in pairs.columns if c not in ("a", "b")]
     left = table.select(F.col("id").alias("a"), F.col("said").alias("said_a"))
-    right = (other if other is not None else table).select(F.col("id").alias("b"), F.col("said").alias("said_b"))
+    right = table.select(F.col("id").alias("b"), F.col("said").alias("said_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", *extra, "said_a", "said_b")
     kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in extra)
 
@@ -127,8 +172,3 @@ def verified(pairs: DataFrame, table: DataFrame, other: DataFrame | None = None,
             yield from emit(out[out["similarity"] >= t - 1e-12])
 
     return both.mapInPandas(run, f"a string, b string{kinds}, similarity double")
-
-
-def said_by(messages: str = "messages", roles: tuple[str, ...] = ("user", "assistant")) -> Column:
-    """Contents of a record's messages of the given roles, in order."""
-    return F.transform(F.filter(messages, lambda m: m["role"].isin(*roles)), lambda m: m["content"])
