@@ -9,20 +9,18 @@ whose sizes and sketches allow the similarity, are verified word by word. Nothin
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.similar import SIMILARITY, SKETCH, may_be_similar, record_words, tokens, verified
+from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, may_be_similar, record_words, small_or_shuffled, verified
 from granary.operators.components import connected_components
 from granary.session import written
 
 #: Classes of the tokens that are indexed by pairs.
-CLASSES = 20
+CLASSES = 60
 #: Tokens whose number is known when the order is made: the most frequent ones. A bound of the dictionary that every
 #: task holds, not of the index: all others come first in the order, by their hash, and index alone.
 DICTIONARY = 200_000
@@ -34,22 +32,10 @@ SHORT = 40
 COPIES = 64
 
 
-def token_numbers(table: DataFrame, most: int = DICTIONARY, rare: int = RARE) -> dict[str, int]:
-    """Records that hold each token, for the most frequent tokens above the rare ones; counted over all records."""
-
-    def run(batches):
-        counts: Counter = Counter()
-        for b in batches:
-            for said in b.column("said").to_pylist():
-                counts.update(tokens(said.split(" ")))
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-                counts = Counter()
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-
-    found = table.select("said").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
-    return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "token").limit(most).collect()}
+def token_numbers(counts: DataFrame, most: int = DICTIONARY, rare: int = RARE) -> dict[str, int]:
+    """Records that hold each token (said, n by task), for the most frequent tokens above the rare ones."""
+    found = counts.groupBy("said").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
+    return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "said").limit(most).collect()}
 
 
 class Order:
@@ -107,41 +93,44 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, rep, copies) and representatives (the word table of one id, the smallest, for each text class)."""
-    table = record_words(records)
-    groups = table.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    doubled = groups.filter("copies > 1")
+def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, rep, copies) of the classes of several copies, the representatives' word table, and token counts.
+
+    The representative of a class is its smallest id.
+    """
+    table = record_words(records, as_tokens=True)
+    texts = table.filter(F.col("kind") == RECORD)
+    groups = texts.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     # Only the classes of several copies need a join, and their keys alone; the others are their own representatives.
-    inside = written(table.select("id", "h1", "h2").join(doubled, ["h1", "h2"]).select("id", "rep", "copies"))
-    reps = table.join(inside.filter("id <> rep").select("id"), "id", "left_anti")
-    return inside, reps
+    inside = written(texts.select("key", "rid", "h1", "h2").join(groups.filter("copies > 1"), ["h1", "h2"]).select(F.col("key").alias("id"), "rid", "rep", "copies"))
+    reps = texts.join(small_or_shuffled(inside.filter("id <> rep").select("rid")), "rid", "left_anti")
+    return inside.drop("rid"), reps, table.filter(F.col("kind") == COUNT).select("said", "n")
 
 
-def candidate_pairs(reps: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: representatives that share a combination and may be similar."""
-    held = reps.sparkSession.sparkContext.broadcast(Order(token_numbers(reps)))
+def candidate_pairs(reps: DataFrame, counts: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """(a, b): rids of representatives that share a combination and may be similar."""
+    held = reps.sparkSession.sparkContext.broadcast(Order(token_numbers(counts)))
 
     def run(batches):
         order = held.value
         for b in batches:
             for part in (b.slice(k, 2_000) for k in range(0, b.num_rows, 2_000)):
-                owner, sigs = order.signatures([tokens(s.split(" ")) for s in part.column("said").to_pylist()], t)
+                owner, sigs = order.signatures([s.split("\n") for s in part.column("said").to_pylist()], t)
                 by = np.argsort(owner, kind="stable")
                 take = pa.array(owner[by])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[by]), *[part.column(c).take(take) for c in ("id", "n", *SKETCH)]], names=["sig", "id", "n", *SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[by]), *[part.column(c).take(take) for c in ("rid", "n", *SKETCH)]], names=["sig", "rid", "n", *SKETCH])
 
-    index = reps.select("id", "said", "n", *SKETCH).mapInArrow(run, "sig long, id string, n int, " + ", ".join(f"{s} long" for s in SKETCH))
+    index = reps.select("rid", "said", "n", *SKETCH).mapInArrow(run, "sig long, rid long, n int, " + ", ".join(f"{s} long" for s in SKETCH))
     a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & may_be_similar("a", "b", t))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.rid") < F.col("b.rid")) & may_be_similar("a", "b", t))
+    return written(met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct())
 
 
-def class_links(records: DataFrame, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Members of the classes of copies, and (a, b, similarity) of the representatives that are similar."""
-    inside, reps = class_table(records)
-    pairs = written(verified(candidate_pairs(reps, t), reps, t=t))
-    return inside, pairs
+def class_links(records: DataFrame, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of the classes of copies, (a, b, similarity) of the similar representatives, and the representatives."""
+    inside, reps, counts = class_table(records)
+    found = written(verified(candidate_pairs(reps, counts, t), reps, ["key"], t))
+    return inside, found.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "similarity"), reps
 
 
 def near_duplicate_pairs(records: DataFrame, t: float = SIMILARITY, copies: int = COPIES) -> DataFrame:
@@ -152,7 +141,7 @@ def near_duplicate_pairs(records: DataFrame, t: float = SIMILARITY, copies: int
     a hot class gives no quadratic result. Null messages and texts without words are similar to nothing; repeated
     deliveries are one record; an empty table gives no rows.
     """
-    inside, pairs = class_links(records, t)
+    inside, pairs, _ = class_links(records, t)
     small = inside.filter(F.col("copies") <= copies)
     same = small.alias("x").join(small.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     star = inside.filter((F.col("copies") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
@@ -165,10 +154,9 @@ def near_duplicate_pairs(records: DataFrame, t: float = SIMILARITY, copies: int
 
 def near_duplicate_groups(records: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(id, class_id, group_id, links) of every id with words: its class of copies, its group, its links to other texts."""
-    inside, reps = class_table(records)
-    pairs = written(verified(candidate_pairs(reps, t), reps, t=t))
+    inside, pairs, reps = class_links(records, t)
     found = connected_components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    every = reps.select("id", F.col("id").alias("rep")).unionByName(inside.filter("id <> rep").select("id", "rep"))
+    every = reps.select(F.col("key").alias("id"), F.col("key").alias("rep")).unionByName(inside.filter("id <> rep").select("id", "rep"))
     tagged = every.join(found.select(F.col("node").alias("rep"), F.col("component").alias("group_id")), "rep", "left").join(links, "rep", "left")
     return tagged.select("id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

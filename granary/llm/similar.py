@@ -7,7 +7,6 @@ than the two sets differ in tokens, so it can rule a pair out and never loses on
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections import Counter
 from functools import reduce
@@ -25,7 +24,6 @@ from granary.session import enough_tasks, written
 
 #: Similarity from which two records are near-duplicates (given by the data's statement of the problem).
 SIMILARITY = 0.7
-_M64 = (1 << 64) - 1
 ROLES = ("user", "assistant")
 #: Longs of a sketch. Few bits rule nothing out where the sets are large: 128 bits are full at some 200 tokens.
 LONGS = 8
@@ -45,27 +43,38 @@ def tokens(ws: list[str]) -> list[str]:
     return out
 
 
-def signed(x: int) -> int:
-    x &= _M64
-    return x - (1 << 64) if x >> 63 else x
-
-
-class TokenMasks(dict):
-    """The parity bit of each token as a mask, kept for tokens met before, up to a bound."""
+class TokenBits(dict):
+    """The parity bit of each token, and above the sketch a hash of 128 bits; kept for tokens met before, up to a bound."""
 
     most = 300_000
 
     def __missing__(self, token: str) -> int:
-        mask = 1 << (xxhash.xxh3_64_intdigest(token) % (64 * LONGS))
+        h = xxhash.xxh3_128_intdigest(token)
+        bits = 1 << (h % (64 * LONGS)) | h << (64 * LONGS)
         if len(self) < self.most:
-            self[token] = mask
-        return mask
+            self[token] = bits
+        return bits
+
+
+#: Sizes up to which a sketch is folded to fewer longs: enough bits for sets of that size, and fewer bytes to move.
+FOLDS = ((90, 2), (250, 4))
+
+
+def fold(sketch: list[int], longs: int) -> list[int]:
+    """The sketch with fewer bits, each the parity of several; the longs beyond are 0."""
+    while len(sketch) > longs:
+        half = len(sketch) // 2
+        sketch = [x ^ y for x, y in zip(sketch[:half], sketch[half:])]
+    return sketch + [0] * (LONGS - longs)
 
 
-def parity(ts: list[str], masks: TokenMasks) -> tuple[int, ...]:
-    """The parity bits of a token set, as signed longs."""
-    bits = reduce(xor, map(masks.__getitem__, ts), 0)
-    return struct.unpack(f"<{LONGS}q", bits.to_bytes(8 * LONGS, "little"))
+def marks(ts: list[str], bits: TokenBits) -> tuple[list[int], int, int]:
+    """The sketch of a token set as signed longs, folded by its size, and two longs that tell the set."""
+    x = reduce(xor, map(bits.__getitem__, ts), 0)
+    every = struct.unpack(f"<{LONGS + 2}q", x.to_bytes(8 * LONGS + 16, "little"))
+    longs = next((k for size, k in FOLDS if len(ts) <= size), LONGS)
+    sketch = list(every[:LONGS])
+    return (sketch if longs == LONGS else fold(sketch, longs)), every[LONGS], every[LONGS + 1]
 
 
 def similarity(a: list[str], b: list[str]) -> float:
@@ -76,53 +85,70 @@ def similarity(a: list[str], b: list[str]) -> float:
     return shared / every if every else 0.0
 
 
-_TABLE = "id string, key string, kind int, said string, n int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
-_ARROW = [("id", pa.string()), ("key", pa.string()), ("kind", pa.int32()), ("said", pa.string()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *[(s, pa.int64()) for s in SKETCH]]
+_TABLE = "key string, kind int, said string, n int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
+_ARROW = [("key", pa.string()), ("kind", pa.int32()), ("said", pa.string()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *[(s, pa.int64()) for s in SKETCH]]
+RECORD, MESSAGE, COUNT = 0, 1, 2
 
 
-def _word_rows(rows: DataFrame, extra: list[str], messages_of: str | None) -> DataFrame:
-    """For each row (key, roles, contents, extra) the words of its user and assistant messages as kind 0.
+def _word_rows(rows: DataFrame, extra: list[str], messages_of: str | None = None, as_tokens: bool = False) -> DataFrame:
+    """For each row (key, roles, contents, extra) the words of its user and assistant messages, kind RECORD.
 
-    Where the column messages_of is true, each user message is a text of its own besides, kind 1.
+    Where the column messages_of is true, each user message is a text of its own besides, kind MESSAGE. With as_tokens,
+    said holds the tokens instead of the words, and each task adds what it counted of each token (said, n), kind COUNT.
+    Words and tokens are parted by line ends.
     """
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches):
-        masks = TokenMasks()
-
-        def add(out, at, n, name, key, kind, ws):
-            ts = tokens(ws)
-            h1 = h2 = 0
-            if kind == 0:
-                whole = hashlib.blake2b("\n".join(sorted(ws)).encode(), digest_size=16).digest()
-                h1, h2 = int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
-            at.append(n)
-            for column, v in zip(out, (name, key, kind, " ".join(ws), len(ws), h1, h2, *parity(ts, masks))):
-                column.append(v)
+        bits, counts = TokenBits(), Counter()
 
+        def rows_of(out, at, columns):
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, _ARROW)] + columns, names=[c for c, _ in _ARROW] + extra)
+
+        def counted(nothing):
+            k = len(counts)
+            out = [[None] * k, [COUNT] * k, list(counts), list(counts.values()), [0] * k, [0] * k, *[[0] * k] * LONGS]
+            counts.clear()
+            return rows_of(out, None, [pa.nulls(k, t) for t in nothing])
+
+        types: list = []
         for b in batches:
             out: list[list] = [[] for _ in _ARROW]
             at: list[int] = []
+            types = [b.schema.field(c).type for c in extra]
             own = b.column(messages_of).to_pylist() if messages_of else None
+
+            def add(n, key, kind, ws):
+                ts = tokens(ws)
+                sketch, h1, h2 = marks(ts, bits)
+                at.append(n)
+                for column, v in zip(out, (key, kind, "\n".join(ts if as_tokens else ws), len(ws), h1, h2, *sketch)):
+                    column.append(v)
+                if as_tokens:
+                    counts.update(ts)
+
             for n, (key, roles, contents) in enumerate(zip(b.column("key").to_pylist(), b.column("roles").to_pylist(), b.column("contents").to_pylist())):
                 every: list[str] = []
-                for k, (role, c) in enumerate(zip(roles or (), contents or ())):
+                for role, c in zip(roles or (), contents or ()):
                     if role in ROLES and c and (ws := words(c)):
                         every += ws
                         if own and own[n] and role == "user":
-                            add(out, at, n, f"{key}#{k}", key, 1, ws)
+                            add(n, key, MESSAGE, ws)
                 if every:
-                    add(out, at, n, key, key, 0, every)
+                    add(n, key, RECORD, every)
             if at:
                 take = pa.array(at, pa.int64())
-                columns = [pa.array(v, t) for v, (_, t) in zip(out, _ARROW)] + [b.column(c).take(take) for c in extra]
-                yield pa.RecordBatch.from_arrays(columns, names=[c for c, _ in _ARROW] + extra)
+                yield rows_of(out, at, [b.column(c).take(take) for c in extra])
+            if len(counts) > 500_000:
+                yield counted(types)
+        if counts:
+            yield counted(types)
 
     return rows.mapInArrow(run, _TABLE + kinds)
 
 
-def record_words(records: DataFrame, extra: dict[str, Column] | None = None, messages_of: Column | None = None) -> DataFrame:
-    """The word table of a record table, one delivery of each id; see _word_rows for its columns.
+def record_words(records: DataFrame, extra: dict[str, Column] | None = None, messages_of: Column | None = None, as_tokens: bool = False) -> DataFrame:
+    """The word table of a record table, one delivery of each id: rid (unique), the columns of _word_rows, and extra.
 
     Words are made before anything is shuffled; deliveries are told apart by their keys alone, and only the few rows of
     later deliveries are taken out by a join. Texts without words are left out: nothing is similar to them.
@@ -137,38 +163,69 @@ def record_words(records: DataFrame, extra: dict[str, Column] | None = None, mes
         *([messages_of.alias("own")] if messages_of is not None else []),
     )
     rows = enough_tasks(rows).withColumn("uid", F.monotonically_increasing_id())
-    table = written(_word_rows(rows, ["uid", "at", *extra], "own" if messages_of is not None else None))
-    one = table.filter("kind = 0").select("key", "uid", "at")
+    made = _word_rows(rows, ["uid", "at", *extra], "own" if messages_of is not None else None, as_tokens)
+    table = written(made.withColumn("rid", F.monotonically_increasing_id()))
+    one = table.filter(F.col("kind") == RECORD).select("key", "uid", "at")
     first = one.groupBy("key").agg(F.min_by("uid", F.struct(F.col("at").isNull(), "at", "uid")).alias("uid"), F.count("*").alias("c"))
     again = one.join(first.filter("c > 1").select("key", F.col("uid").alias("first")), "key").filter("uid <> first").select("uid")
-    return table.join(again, "uid", "left_anti").drop("uid", "at")
+    return table.join(small_or_shuffled(written(again)), "uid", "left_anti").drop("uid", "at")
+
+
+#: Rows of a written key table up to which it is broadcast.
+SMALL = 300_000
+
+
+def small_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most SMALL rows and else to meet the other side in a shuffle."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
 
 
 def plain_words(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """The word table of rows (key, roles, contents, extra) as they are."""
-    return _word_rows(rows, extra, None)
+    """The word table of rows (key, roles, contents, extra) as they are; its rids are negative."""
+    return written(_word_rows(rows, extra).withColumn("rid", F.lit(-1) - F.monotonically_increasing_id()))
 
 
 def may_be_similar(a: str, b: str, t: float = SIMILARITY) -> Column:
-    """Whether sizes and sketches of two aliased word tables allow a similarity of t; never false for such a pair."""
+    """Whether sizes and sketches of two aliased word tables allow a similarity of t; never false for such a pair.
+
+    Sketches of different folds are compared folded alike: folding never makes two sketches differ in more bits.
+    """
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
+    apart = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in SKETCH]
     most = (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)
-    return (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9)) & (reduce(add, bits[:2]) <= most) & (reduce(add, bits) <= most)
+    out = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9))
+    least = F.least(n1, n2)
+    longs = 2
+    while longs <= LONGS:
+        folded = [reduce(lambda x, y: x.bitwiseXOR(y), apart[k::longs]) for k in range(longs)]
+        close = reduce(add, [F.bit_count(x) for x in folded]) <= most
+        above = [size for size, k in FOLDS if k < longs]
+        out = out & (close if not above else (least <= max(above)) | close)
+        longs *= 2
+    return out
+
+
+def met_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of a table by rid that some pair (a, b) of a written table names: mostly a small part, and texts are large."""
+    ends = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
+    return table.join(small_or_shuffled(ends), "rid", "left_semi")
 
 
-def verified(pairs: DataFrame, table: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity, and what else pairs hold) of the pairs whose exact similarity is at least t."""
-    extra = [c for c in pairs.columns if c not in ("a", "b")]
-    left = table.select(F.col("id").alias("a"), F.col("said").alias("said_a"))
-    right = table.select(F.col("id").alias("b"), F.col("said").alias("said_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", *extra, "said_a", "said_b")
-    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in extra)
+def verified(pairs: DataFrame, table: DataFrame, keep: list[str], t: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b, and more) of rids whose exact similarity is at least t, with it and the kept columns of both texts.
+
+    A column c of the table comes back as c_a and c_b.
+    """
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    met = met_by(pairs, table.select("rid", "said", *keep))
+    side = lambda x: met.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("said", *keep)])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+    kept = [c for c in both.columns if c not in ("said_a", "said_b")]
 
     def run(batches):
         for b in batches:
-            s = [similarity(x.split(" "), y.split(" ")) for x, y in zip(b["said_a"], b["said_b"])]
-            out = b.drop(columns=["said_a", "said_b"]).assign(similarity=pd.Series(s, index=b.index, dtype="float64"))
+            s = [similarity(x.split("\n"), y.split("\n")) for x, y in zip(b["said_a"], b["said_b"])]
+            out = b[kept].assign(similarity=pd.Series(s, index=b.index, dtype="float64"))
             yield from emit(out[out["similarity"] >= t - 1e-12])
 
-    return both.mapInPandas(run, f"a string, b string{kinds}, similarity double")
+    return both.mapInPandas(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept) + ", similarity double")
