@@ -23,7 +23,10 @@ class Crf:
         return [np.fromiter((index[f] for f in feats if f in index), int) for feats in sequence]
 
     def scores(self, encoded: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.w[ids].sum(axis=0) for ids in encoded])
+        sizes = [len(ids) for ids in encoded]
+        if min(sizes) == 0:
+            return np.array([self.w[ids].sum(axis=0) for ids in encoded])
+        return np.add.reduceat(self.w[np.concatenate(encoded)], np.cumsum([0, *sizes[:-1]]), axis=0)
 
     def fit(self, data: list[tuple[list[list[str]], list[str]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> Crf:
         """Maximum likelihood by adaptive gradient steps over the sequences in a fixed order of a seeded shuffle."""

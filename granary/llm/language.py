@@ -25,8 +25,10 @@ SAMPLE_BYTES = 250_000
 #: Confidence from which a sentence trains the second, final trees.
 SURE = 0.98
 
-_CITED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‹[^›\n]*›|<[^<>\n]{1,80}>|https?://\S+|\b[\w.+-]+@[\w.-]+|\b\w+(?:\.\w+)+/\S*")
+_CITED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‹[^›\n]*›|<[^<>\n]{1,80}>|(?<![\w*])\*{1,2}[^*\s][^*\n]*\*{1,2}(?![\w*])")
+_ADDRESS = re.compile(r"https?://\S+|\b[\w.+-]+@[\w.-]+|\b\w+(?:\.\w+)+/\S*")
 _QUOTED1 = re.compile(r"(?<!\w)'[^'\n]{1,60}'(?!\w)|(?<!\w)‘[^’\n]{1,60}’(?!\w)")
+_OPENS = re.compile(r"[`\"“„«‹<*]")
 _LETTER = re.compile(r"[^\W\d_]")
 _SEED = {lang: frozenset(words.split()) for lang, words in SEED_WORDS.items()}
 _OWN = {lang: words - frozenset().union(*[w for k, w in _SEED.items() if k != lang]) for lang, words in _SEED.items()}
@@ -36,13 +38,26 @@ _PIECE = re.compile(r"(?:\n+|(?<=[.!?…。！？])[\"'”’»)\]]*\s+|\s+[-–
 
 def uncited(text: str) -> str:
     """The text with every quoted or cited piece replaced by a blank; as it is where nothing else would be left."""
-    out = _QUOTED1.sub(" ", _CITED.sub(" ", text))
-    return out if _LETTER.search(out) else text
+    out = text
+    if _OPENS.search(out):
+        out = _CITED.sub(" ", out)
+    if "/" in out or "@" in out:
+        out = _ADDRESS.sub(" ", out)
+    if " '" in out or "‘" in out or out[:1] == "'":
+        out = _QUOTED1.sub(" ", out)
+    return out if out is text or _LETTER.search(out) else text
+
+
+def cited(text: str) -> list[str]:
+    """The quoted or cited pieces of at least three words."""
+    return [m[0] for m in _CITED.finditer(text) if m[0].count(" ") > 1] if _OPENS.search(text) else []
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
     """Offsets of the sentence-like pieces of a message, cut after closing marks, at line breaks and list markers."""
-    masked = _CITED.sub(lambda m: "x" * len(m[0]), text)
+    masked = _CITED.sub(lambda m: "x" * len(m[0]), text) if _OPENS.search(text) else text
+    if "/" in masked:
+        masked = _ADDRESS.sub(lambda m: "x" * len(m[0]), masked)
     out, start = [], 0
     for m in _PIECE.finditer(masked):
         if _LETTER.search(text, start, m.start()):
