@@ -70,21 +70,46 @@ class Crf:
 
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best label sequence under the scores of each position."""
-        n = len(s)
-        best, back = s[0], []
-        for j in range(1, n):
-            all_ = best[:, None] + self.t
-            back.append(all_.argmax(axis=0))
-            best = all_.max(axis=0) + s[j]
-        out = [int(best.argmax())]
-        for b in reversed(back):
-            out.append(int(b[out[-1]]))
+        rows = s.tolist()
+        into = self.t.T.tolist()
+        labels = range(len(self.labels))
+        best, back = rows[0], []
+        for row in rows[1:]:
+            came, now = [], []
+            for k in labels:
+                reach = [x + y for x, y in zip(best, into[k])]
+                top = max(reach)
+                came.append(reach.index(top))
+                now.append(top + row[k])
+            back.append(came)
+            best = now
+        out = [best.index(max(best))]
+        for came in reversed(back):
+            out.append(came[out[-1]])
         return out[::-1]
 
     def tag(self, sequence: list[list[str]]) -> list[str]:
-        if not sequence:
-            return []
-        return [self.labels[k] for k in self.viterbi(self.scores(self.encode(sequence)))]
+        return self.tag_all([sequence])[0]
+
+    def tag_all(self, sequences: list[list[list[str]]]) -> list[list[str]]:
+        """The labels of each sequence; the scores of all positions are found together."""
+        index, sizes, ids = self.index.get, [], []
+        for sequence in sequences:
+            for feats in sequence:
+                had = len(ids)
+                ids += [k for f in feats if (k := index(f)) is not None]
+                sizes.append(len(ids) - had)
+        if not sizes:
+            return [[] for _ in sequences]
+        total = np.vstack([np.cumsum(self.w[np.array(ids, int)], axis=0), np.zeros((1, len(self.labels)))])
+        ends = np.cumsum(sizes)
+        scores = total[ends - 1] - total[ends - np.array(sizes) - 1]
+        out, at = [], 0
+        for sequence in sequences:
+            n = len(sequence)
+            out.append([self.labels[k] for k in self.viterbi(scores[at : at + n])] if n else [])
+            at += n
+        return out
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 
 ORDER = 5
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,30 +82,51 @@ class PpmModels:
         """Code length in bits of each text (as folded gives it) in each language."""
         if not texts:
             return np.zeros((0, len(self.langs)))
-        data = np.frombuffer(b"".join(b"\0" * self.order + t for t in texts), np.uint8)
-        lengths = np.array([len(t) for t in texts])
-        starts = np.cumsum(lengths + self.order) - lengths
-        at = np.arange(lengths.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        cost = np.zeros((len(at), len(self.langs)), np.float32)
-        open_ = np.arange(len(at))
-        windows = [data[at - back].astype(np.uint64) for back in range(self.order + 1)]
-        for d in range(self.order, -1, -1):
-            key, ctx = np.full(len(open_), d + 1, np.uint64), np.full(len(open_), d, np.uint64)
-            for back in range(d, -1, -1):
-                if back == 0:
-                    ctx = key - np.uint64(1)
-                key = (key << np.uint64(8)) | windows[back][open_]
-            # the number of bytes leads the key; a context has one byte less
+        out, part, size = [], [], 0
+        for t in texts:  # some 100 kB at a time stay in the cache
+            part.append(t)
+            size += len(t)
+            if size > 100_000:
+                out.append(self._bits(part))
+                part, size = [], 0
+        if part:
+            out.append(self._bits(part))
+        return np.concatenate(out)
+
+    def _bits(self, texts: list[bytes]) -> np.ndarray:
+        n = self.order
+        data = np.frombuffer(b"".join([b"\0" * n + t for t in texts]), np.uint8).astype(np.uint64)
+        # the last n + 1 bytes at each place, those of the blank space before a text included
+        last = data[n:].copy()
+        for back in range(1, n + 1):
+            last |= data[n - back : len(data) - back] << np.uint64(8 * back)
+        cost, left = None, None
+        for d in range(n, -1, -1):
+            here = last if cost is None else last[left]
+            key = (here & np.uint64((1 << 8 * (d + 1)) - 1)) | np.uint64((d + 1) << 8 * (d + 1))
             grams, escapes = self.tables[d]
             found, row = grams.look(key)
-            cost[open_[found]] += grams.rows[row[found]]
-            open_ = open_[~found]
-            if not len(open_):
+            rest = np.flatnonzero(~found)
+            if cost is None:
+                cost = grams.rows.take(row, axis=0)
+                cost[rest] = 0
+                left = rest
+            else:
+                at = np.flatnonzero(found)
+                cost[left[at]] += grams.rows[row[at]]
+                left = left[rest]
+            if not len(left):
                 break
-            there, row = escapes.look(ctx[~found])
-            cost[open_[there]] += escapes.rows[row[there]]
-        cost[open_] += self.uniform
-        return np.add.reduceat(cost, np.cumsum(lengths) - lengths, axis=0)
+            ctx = ((here[rest] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) | np.uint64(d << 8 * d)
+            there, row = escapes.look(ctx)
+            at = np.flatnonzero(there)
+            cost[left[at]] += escapes.rows[row[at]]
+        else:
+            cost[left] += self.uniform
+        ends = np.cumsum([len(t) + n for t in texts]) - n
+        starts = ends - [len(t) for t in texts]
+        cost = np.vstack([cost, np.zeros((1, cost.shape[1]), np.float32)])  # so that the last end is a place too
+        return np.add.reduceat(cost, np.stack([starts, ends], 1).ravel(), axis=0)[::2]
 
 
 class _Table:
@@ -116,13 +138,13 @@ class _Table:
         size = 1 << max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.shift = np.uint64(64 - int(np.log2(size)))
         self.mask = size - 1
-        self.slots, self.row = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(size, np.int32)
+        self.slots, self.row = np.full(size, _EMPTY), np.zeros(size, np.int32)
         with np.errstate(over="ignore"):
             place = ((keys * _MUL) >> self.shift).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
             p = place[left]
-            free = self.slots[p] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            free = self.slots[p] == _EMPTY
             _, first = np.unique(p, return_index=True)
             take = np.zeros(len(left), bool)
             take[first] = True
@@ -132,19 +154,18 @@ class _Table:
             place[left] = (place[left] + 1) & self.mask
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            p = ((keys * _MUL) >> self.shift).astype(np.int64)
-        row = np.zeros(len(keys), np.int32)
-        found = np.zeros(len(keys), bool)
-        left = np.arange(len(keys))
+        """Whether each key is there, and its row."""
+        p = ((keys * _MUL) >> self.shift).astype(np.int64)
+        s = self.slots[p]
+        found = s == keys
+        left = np.flatnonzero(~found & (s != _EMPTY))
         while len(left):
+            p[left] = (p[left] + 1) & self.mask
             s = self.slots[p[left]]
             hit = s == keys[left]
             found[left[hit]] = True
-            row[left[hit]] = self.row[p[left[hit]]]
-            left = left[~hit & (s != np.uint64(0xFFFFFFFFFFFFFFFF))]
-            p[left] = (p[left] + 1) & self.mask
-        return found, row
+            left = left[~hit & (s != _EMPTY)]
+        return found, self.row[p]
 
 
 def _counts(data: bytes, order: int) -> list:
