@@ -17,9 +17,13 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Marks that say nothing of the language at the ends of a text.
+_EDGE = " \t\n.!?…:;,()[]-–—•*|\"'`“”«»"
+
+
 def folded(text: str) -> bytes:
-    """The bytes that are scored: case folded, runs of blanks as one, with a blank at both ends."""
-    return b" " + " ".join(text.casefold().replace("’", "'").split()).encode() + b" "
+    """The bytes that are scored: without marks at the ends, case folded, runs of blanks as one, blanks at both ends."""
+    return b" " + " ".join(text.strip(_EDGE).casefold().replace("’", "'").split()).encode() + b" "
 
 
 class PpmModels:
