@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, may_be_similar, record_words, small_or_shuffled, verified
+from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, index_schema, may_be_similar, record_words, sketch_columns, small_or_shuffled, verified
 from granary.operators.components import connected_components
 from granary.session import written
 
@@ -118,9 +119,11 @@ def candidate_pairs(reps: DataFrame, counts: DataFrame, t: float = SIMILARITY) -
                 owner, sigs = order.signatures([s.split("\n") for s in part.column("said").to_pylist()], t)
                 by = np.argsort(owner, kind="stable")
                 take = pa.array(owner[by])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[by]), *[part.column(c).take(take) for c in ("rid", "n", *SKETCH)]], names=["sig", "rid", "n", *SKETCH])
+                columns = [pa.array(sigs[by]), part.column("rid").take(take), part.column("n").take(take), *sketch_columns(part, take)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    index = reps.select("rid", "said", "n", *SKETCH).mapInArrow(run, "sig long, rid long, n int, " + ", ".join(f"{s} long" for s in SKETCH))
+    schema = index_schema(("sig", T.LongType()), ("rid", T.LongType()))
+    index = reps.select("rid", "said", "n", *SKETCH).mapInArrow(run, schema)
     a, b = index.alias("a"), index.alias("b")
     met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.rid") < F.col("b.rid")) & may_be_similar("a", "b", t))
     return written(met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct())

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.frames import emit
 from granary.functions.words import words
@@ -28,6 +29,8 @@ ROLES = ("user", "assistant")
 #: Longs of a sketch. Few bits rule nothing out where the sets are large: 128 bits are full at some 200 tokens.
 LONGS = 8
 SKETCH = [f"s{k}" for k in range(1, LONGS + 1)]
+#: The sketch folded to two longs: what the first look of a comparison takes.
+SHORT_SKETCH = ["f1", "f2"]
 
 
 def tokens(ws: list[str]) -> list[str]:
@@ -185,23 +188,32 @@ def plain_words(rows: DataFrame, extra: list[str]) -> DataFrame:
     return written(_word_rows(rows, extra).withColumn("rid", F.lit(-1) - F.monotonically_increasing_id()))
 
 
+def sketch_columns(batch: pa.RecordBatch, take: pa.Array) -> list[pa.Array]:
+    """The columns of SHORT_SKETCH and SKETCH of the taken rows of a batch."""
+    longs = [batch.column(s).to_numpy() for s in SKETCH]
+    short = [pa.array(reduce(xor, longs[k::2])).take(take) for k in range(2)]
+    return short + [batch.column(s).take(take) for s in SKETCH]
+
+
+def index_schema(*columns: tuple[str, T.DataType]) -> T.StructType:
+    """Schema of index rows: the given columns, n and the sketches, none of them null, so that no comparison looks for nulls."""
+    longs = [(s, T.LongType()) for s in (*SHORT_SKETCH, *SKETCH)]
+    return T.StructType([T.StructField(c, kind, False) for c, kind in (*columns, ("n", T.IntegerType()), *longs)])
+
+
 def may_be_similar(a: str, b: str, t: float = SIMILARITY) -> Column:
-    """Whether sizes and sketches of two aliased word tables allow a similarity of t; never false for such a pair.
+    """Whether sizes and sketches of two aliased index tables allow a similarity of t; never false for such a pair.
 
     Sketches of different folds are compared folded alike: folding never makes two sketches differ in more bits.
     """
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in SKETCH]
+    differ = lambda columns: [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in columns]
     most = (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)
-    out = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9))
-    least = F.least(n1, n2)
-    longs = 2
-    while longs <= LONGS:
+    out = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9)) & (reduce(add, [F.bit_count(x) for x in differ(SHORT_SKETCH)]) <= most)
+    apart, least = differ(SKETCH), F.least(n1, n2)
+    for size, longs in zip([size for size, _ in FOLDS], [longs for _, longs in FOLDS[1:]] + [LONGS]):
         folded = [reduce(lambda x, y: x.bitwiseXOR(y), apart[k::longs]) for k in range(longs)]
-        close = reduce(add, [F.bit_count(x) for x in folded]) <= most
-        above = [size for size, k in FOLDS if k < longs]
-        out = out & (close if not above else (least <= max(above)) | close)
-        longs *= 2
+        out = out & ((least <= size) | (reduce(add, [F.bit_count(x) for x in folded]) <= most))
     return out
 
 
