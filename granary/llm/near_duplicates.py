@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, index_schema, may_be_similar, record_words, sketch_columns, small_or_shuffled, verified
+from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, index_schema, may_be_similar, record_words, small_or_shuffled, verified
 from granary.operators.components import connected_components
 from granary.session import written
 
@@ -119,7 +119,7 @@ def candidate_pairs(reps: DataFrame, counts: DataFrame, t: float = SIMILARITY) -
                 owner, sigs = order.signatures([s.split("\n") for s in part.column("said").to_pylist()], t)
                 by = np.argsort(owner, kind="stable")
                 take = pa.array(owner[by])
-                columns = [pa.array(sigs[by]), part.column("rid").take(take), part.column("n").take(take), *sketch_columns(part, take)]
+                columns = [pa.array(sigs[by]), part.column("rid").take(take), part.column("n").take(take), *[part.column(s).take(take) for s in SKETCH]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     schema = index_schema(("sig", T.LongType()), ("rid", T.LongType()))

@@ -29,8 +29,8 @@ ROLES = ("user", "assistant")
 #: Longs of a sketch. Few bits rule nothing out where the sets are large: 128 bits are full at some 200 tokens.
 LONGS = 8
 SKETCH = [f"s{k}" for k in range(1, LONGS + 1)]
-#: The sketch folded to two longs: what the first look of a comparison takes.
-SHORT_SKETCH = ["f1", "f2"]
+#: Sizes above which a sketch holds 256 and 512 bits: enough for sets of that size, and fewer bytes to move below.
+WIDE, WIDEST = 90, 250
 
 
 def tokens(ws: list[str]) -> list[str]:
@@ -59,25 +59,19 @@ class TokenBits(dict):
         return bits
 
 
-#: Sizes up to which a sketch is folded to fewer longs: enough bits for sets of that size, and fewer bytes to move.
-FOLDS = ((90, 2), (250, 4))
-
-
-def fold(sketch: list[int], longs: int) -> list[int]:
-    """The sketch with fewer bits, each the parity of several; the longs beyond are 0."""
-    while len(sketch) > longs:
-        half = len(sketch) // 2
-        sketch = [x ^ y for x, y in zip(sketch[:half], sketch[half:])]
-    return sketch + [0] * (LONGS - longs)
-
-
 def marks(ts: list[str], bits: TokenBits) -> tuple[list[int], int, int]:
-    """The sketch of a token set as signed longs, folded by its size, and two longs that tell the set."""
+    """The sketch of a token set as signed longs, and two longs that tell the set.
+
+    The first two longs are the 512 bits folded to 128, the next two what 256 bits need besides, the last four what 512
+    need besides; sets of up to WIDE and WIDEST tokens have zeros there. All is linear: the exclusive or of two sketches
+    is the sketch of what they differ in.
+    """
     x = reduce(xor, map(bits.__getitem__, ts), 0)
-    every = struct.unpack(f"<{LONGS + 2}q", x.to_bytes(8 * LONGS + 16, "little"))
-    longs = next((k for size, k in FOLDS if len(ts) <= size), LONGS)
-    sketch = list(every[:LONGS])
-    return (sketch if longs == LONGS else fold(sketch, longs)), every[LONGS], every[LONGS + 1]
+    *s, h1, h2 = struct.unpack(f"<{LONGS + 2}q", x.to_bytes(8 * LONGS + 16, "little"))
+    g = [s[k] ^ s[k + 4] for k in range(4)]
+    wide = g[2:] if len(ts) > WIDE else [0, 0]
+    widest = s[4:] if len(ts) > WIDEST else [0, 0, 0, 0]
+    return [g[0] ^ g[2], g[1] ^ g[3], *wide, *widest], h1, h2
 
 
 def similarity(a: list[str], b: list[str]) -> float:
@@ -188,33 +182,26 @@ def plain_words(rows: DataFrame, extra: list[str]) -> DataFrame:
     return written(_word_rows(rows, extra).withColumn("rid", F.lit(-1) - F.monotonically_increasing_id()))
 
 
-def sketch_columns(batch: pa.RecordBatch, take: pa.Array) -> list[pa.Array]:
-    """The columns of SHORT_SKETCH and SKETCH of the taken rows of a batch."""
-    longs = [batch.column(s).to_numpy() for s in SKETCH]
-    short = [pa.array(reduce(xor, longs[k::2])).take(take) for k in range(2)]
-    return short + [batch.column(s).take(take) for s in SKETCH]
-
-
 def index_schema(*columns: tuple[str, T.DataType]) -> T.StructType:
-    """Schema of index rows: the given columns, n and the sketches, none of them null, so that no comparison looks for nulls."""
-    longs = [(s, T.LongType()) for s in (*SHORT_SKETCH, *SKETCH)]
+    """Schema of index rows: the given columns, n and the sketch, none of them null, so that no comparison looks for nulls."""
+    longs = [(s, T.LongType()) for s in SKETCH]
     return T.StructType([T.StructField(c, kind, False) for c, kind in (*columns, ("n", T.IntegerType()), *longs)])
 
 
 def may_be_similar(a: str, b: str, t: float = SIMILARITY) -> Column:
     """Whether sizes and sketches of two aliased index tables allow a similarity of t; never false for such a pair.
 
-    Sketches of different folds are compared folded alike: folding never makes two sketches differ in more bits.
+    The sketches are compared in as many bits as both have, first in 128.
     """
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = lambda columns: [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in columns]
     most = (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)
-    out = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9)) & (reduce(add, [F.bit_count(x) for x in differ(SHORT_SKETCH)]) <= most)
-    apart, least = differ(SKETCH), F.least(n1, n2)
-    for size, longs in zip([size for size, _ in FOLDS], [longs for _, longs in FOLDS[1:]] + [LONGS]):
-        folded = [reduce(lambda x, y: x.bitwiseXOR(y), apart[k::longs]) for k in range(longs)]
-        out = out & ((least <= size) | (reduce(add, [F.bit_count(x) for x in folded]) <= most))
-    return out
+    d = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in SKETCH]
+    wide = [d[0].bitwiseXOR(d[2]), d[1].bitwiseXOR(d[3]), d[2], d[3]]
+    widest = [x.bitwiseXOR(y) for x, y in zip(wide, d[4:])] + d[4:]
+    close = lambda longs: reduce(add, [F.bit_count(x) for x in longs]) <= most
+    least = F.least(n1, n2)
+    sizes = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9))
+    return sizes & close(d[:2]) & ((least <= WIDE) | close(wide)) & ((least <= WIDEST) | close(widest))
 
 
 def met_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
