@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.ppm import PpmModels, folded
+from granary.llm.sampling import bounded_sample
 from granary.llm.seeds import LABELS, NO_LABEL, SEED_TEXTS, SEED_WORDS
 from granary.functions.frames import emit
 from granary.session import spread
@@ -96,10 +97,10 @@ def _fit(labelled: list[tuple[str, str]], max_bytes: int) -> PpmModels:
     return PpmModels(own)
 
 
-def sample_texts(texts: DataFrame, col: str, n: int = SAMPLE_TEXTS) -> list[str]:
-    """At most n texts, in the order of a hash of their content, so that the same table gives the same sample."""
-    rows = texts.select(F.substring(F.col(col), 1, 4000).alias("t")).filter(F.length("t") > 0)
-    return [r[0] for r in rows.orderBy(F.xxhash64("t"), "t").limit(n).collect()]
+def sample_texts(table: DataFrame, messages: str = "messages", n: int = SAMPLE_TEXTS) -> list[str]:
+    """At most n message texts of a table, by a hash of their content, so that the same table gives the same sample."""
+    texts = table.select(F.explode(messages).alias("m")).select(F.substring("m.content", 1, 4000).alias("t")).filter(F.length("t") > 0)
+    return [r[0] for r in bounded_sample(texts, table.count(), n)]
 
 
 def classify(models: PpmModels, sentences: list[str], prior_bits: float = 0.0) -> tuple[list[str], np.ndarray]:
@@ -174,7 +175,7 @@ def user_messages(requests: DataFrame) -> DataFrame:
 def request_segments(requests: DataFrame, models: PpmModels | None = None) -> DataFrame:
     """(request_id, language, message_no, segment_no, lang, confidence, start_char, end_char) of every user message."""
     said = user_messages(requests)
-    models = models or train(sample_texts(requests.select(F.explode("messages").alias("m")).select("m.content"), "content"))
+    models = models or train(sample_texts(requests))
     return segments(said, models, ["request_id", "language", "message_no"])
 
 
