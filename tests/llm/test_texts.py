@@ -220,7 +220,7 @@ def test_leaks_against_brute_force():
     items = [(f"i{k}", f"Read.\n{_item(rnd)}\nWhat?") for k in range(12)]
     index = leakage.ItemIndex(items)
     hits = 0
-    for _ in range(300):
+    for _ in range(60):
         k = rnd.randrange(12)
         p = index.words[k]
         n = rnd.choice([10, 14, 15, 16, 17, 20, 40])
@@ -229,12 +229,12 @@ def test_leaks_against_brute_force():
         for _ in range(rnd.choice([0, 1, 1, 2])):
             j, how = rnd.randrange(1, len(part) - 1), rnd.choice("xda")
             part = part[:j] + ({"x": ["zz"], "d": [], "a": ["zz", part[j]]}[how]) + part[j + 1 :]
-        ws = _item(rnd, 70).split() + part + _item(rnd, 30).split()
+        ws = _item(rnd, 20).split() + part + _item(rnd, 10).split()
         want = {c for c in range(12) if _repeats(ws, index.words[c])}
         got = {c for c, _ in index.leaks(" ".join(ws))}
         assert want == got
         hits += bool(want)
-    assert hits > 80
+    assert hits > 15
 
 
 def test_what_a_reader_sees():
@@ -319,7 +319,7 @@ def test_units_hold_every_letter_in_order(spark, data, segmenter):
 
 
 def test_sentence_rows(spark, segmenter):
-    docs = spark.createDataFrame([(1, "A b. C d.", 0), (2, None, 0), (3, "", 0), (4, "x " * 50_000 + "end. Next one.", 0), (1, "A b. C d.", 0)], "doc_id long, text string, sent_no int")
+    docs = spark.createDataFrame([(1, "It rained. We went.", 0), (2, None, 0), (3, "", 0), (4, "x " * 50_000 + "end. Next one.", 0), (1, "It rained. We went.", 0)], "doc_id long, text string, sent_no int")
     found = sentences.sentences(docs, segmenter)
     assert found.columns == ["doc_id", "sent_no", "start_char", "end_char"]
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 1, 1, 1, 4, 4]
