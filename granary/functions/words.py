@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import regex
 
-_ASCII = re.compile(r"[a-z0-9]+")
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
@@ -17,5 +16,5 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        return _ASCII.findall(text.lower())
+        return text.lower().translate(_BLANKS).split()
     return _RUN.findall(_FORMAT.sub("", unicodedata.normalize("NFKC", _FORMAT.sub("", text)).casefold()))
