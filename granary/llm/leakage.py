@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.frames import emit
+from granary.functions.words import words
 from granary.session import spread
 
 #: Words in a row that make a leak, one of which may be altered, dropped or added.
@@ -42,7 +43,6 @@ _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>", re.S)
 _LINK = re.compile(r"!?\[([^\[\]]{0,400})\]\([^()\s]{0,400}\)")
 _INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵ㅤ]+")
 _RUNS = regex.compile(r"[\p{L}\p{N}]+")
-_ASCII = re.compile(r"[a-z0-9]+")
 
 
 def seen_words(text: str | None) -> list[str]:
@@ -54,7 +54,7 @@ def seen_words(text: str | None) -> list[str]:
     if "](" in text:
         text = _LINK.sub(r"\1", text)
     if text.isascii():
-        return _ASCII.findall(text.lower())
+        return words(text)
     text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)).casefold()
     text = "".join(c for c in text if not unicodedata.combining(c)).translate(_LOOKALIKE)
     return _RUNS.findall(text)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, index_schema, may_be_similar, record_words, small_or_shuffled, verified
+from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, WIDE, WIDEST, index_schema, may_be_similar, record_words, small_or_shuffled, verified
 from granary.operators.components import connected_components
 from granary.session import written
 
@@ -29,6 +29,10 @@ DICTIONARY = 200_000
 RARE = 5
 #: Tokens of a record up to which single tokens are indexed besides, so that short records need no combination.
 SHORT = 40
+#: Rows of a combination above which its comparison is left to a join that splits and spills.
+HOT = 50_000
+#: Rows that a task compares at a time, and rows of a combination up to which many combinations are compared together.
+READ, FEW = 100_000, 48
 #: Members of a class of exact copies up to which all pairs are written; beyond, each copy is linked to the smallest id.
 COPIES = 64
 
@@ -124,9 +128,115 @@ def candidate_pairs(reps: DataFrame, counts: DataFrame, t: float = SIMILARITY) -
 
     schema = index_schema(("sig", T.LongType()), ("rid", T.LongType()))
     index = reps.select("rid", "said", "n", *SKETCH).mapInArrow(run, schema)
-    a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.rid") < F.col("b.rid")) & may_be_similar("a", "b", t))
-    return written(met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct())
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(parts, "sig").sortWithinPartitions("sig", "n")
+    limits = {"hot": HOT, "read": READ}
+    met = written(dealt.mapInArrow(lambda batches: _met(batches, t, **limits), "a long, b long").distinct())
+    hot = met.filter("b is null").select(F.col("a").alias("sig"))
+    if hot.isEmpty():
+        return met
+    # combinations of very many records: a join that splits and spills them; there are at most rows / HOT of them
+    again = index.join(F.broadcast(hot), "sig", "left_semi")
+    a, b = again.alias("a"), again.alias("b")
+    more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.rid") < F.col("b.rid")) & may_be_similar("a", "b", t))
+    return written(met.filter("b is not null").unionByName(more.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))).distinct())
+
+
+def _met(batches, t: float, hot: int, read: int):
+    """Pairs of rids that share a combination and may be similar, from index rows in the order of combination and size.
+
+    A combination of more than `hot` rows is not kept: it comes back as a row without b.
+    """
+    names = ["sig", "rid", "n", *SKETCH]
+    waiting: list[dict] = []
+    rows, skipped = 0, None
+
+    def joined() -> dict:
+        return {c: np.concatenate([w[c] for w in waiting]) for c in names}
+
+    def pairs(part: dict):
+        i, j = _close(part, t)
+        if len(i):
+            x, y = part["rid"][i], part["rid"][j]
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    for batch in batches:
+        part = {c: batch.column(c).to_numpy() for c in names}
+        if skipped is not None:
+            stay = part["sig"] != skipped
+            part = {c: v[stay] for c, v in part.items()}
+        waiting.append(part)
+        rows += len(part["sig"])
+        if rows < read:
+            continue
+        every = joined()
+        last = int(np.searchsorted(every["sig"], every["sig"][-1])) if rows else 0
+        yield from pairs({c: v[:last] for c, v in every.items()})
+        rest = {c: v[last:] for c, v in every.items()}
+        if len(rest["sig"]) > hot:
+            skipped = int(rest["sig"][-1])
+            yield pa.RecordBatch.from_arrays([pa.array([skipped]), pa.array([None], pa.int64())], names=["a", "b"])
+            rest = {c: v[:0] for c, v in rest.items()}
+        waiting, rows = [rest], len(rest["sig"])
+    if rows:
+        yield from pairs(joined())
+
+
+def _close(part: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one combination whose sizes and sketches allow the similarity."""
+    sig, n = part["sig"], part["n"].astype(np.int64)
+    f1, f2 = part["s1"].view(np.uint64), part["s2"].view(np.uint64)
+    share = (1 - t) / (1 + t)
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    ends = np.append(starts[1:], len(sig))
+    size = ends - starts
+    found_i, found_j = [], []
+    # groups of few rows together: each row with the row s places on, while that is of its group and not too large
+    few = (size > 1) & (size <= FEW)
+    left = _ranges(starts[few], ends[few])
+    end = np.repeat(ends[few], size[few])
+    s = 0
+    while len(left):
+        s += 1
+        stay = left + s < end
+        left, end = left[stay], end[stay]
+        j = left + s
+        stay = n[j] * t <= n[left] + 1e-9
+        left, end, j = left[stay], end[stay], j[stay]
+        near = np.bitwise_count(f1[left] ^ f1[j]).astype(np.int64) + np.bitwise_count(f2[left] ^ f2[j]) <= (n[left] + n[j]) * share + 1e-9
+        found_i.append(left[near])
+        found_j.append(j[near])
+    # larger groups by blocks of rows against all rows that are not too large for them
+    for a, b in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+        own = n[a:b]
+        for i in range(a, b, 64):
+            e = min(i + 64, b)
+            top = a + int(np.searchsorted(own, own[e - 1 - a] / t + 1e-9, "right"))
+            most = np.minimum((n[i:e] * (1 + 1 / t)) * share + 1e-6, 255).astype(np.uint8)[:, None]
+            for k in range(i, top, 8_192):
+                stop = min(k + 8_192, top)
+                bits = np.bitwise_count(f1[i:e, None] ^ f1[None, k:stop]) + np.bitwise_count(f2[i:e, None] ^ f2[None, k:stop])
+                x, y = np.nonzero(bits <= most)
+                keep = y + k > x + i
+                found_i.append(x[keep] + i)
+                found_j.append(y[keep] + k)
+    if not found_i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    d = [part[c].view(np.uint64)[i] ^ part[c].view(np.uint64)[j] for c in SKETCH]
+    wide = [d[0] ^ d[2], d[1] ^ d[3], d[2], d[3]]
+    widest = [x ^ y for x, y in zip(wide, d[4:])] + d[4:]
+    most, least = (n[i] + n[j]) * share + 1e-9, np.minimum(n[i], n[j])
+    close = lambda longs: sum(np.bitwise_count(x).astype(np.int64) for x in longs) <= most
+    keep = (np.maximum(n[i], n[j]) * t <= least + 1e-9) & close(d[:2]) & ((least <= WIDE) | close(wide)) & ((least <= WIDEST) | close(widest))
+    return i[keep], j[keep]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start to its end."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def class_links(records: DataFrame, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
