@@ -32,7 +32,9 @@ SHORT = 40
 #: Rows of a combination above which its comparison is left to a join that splits and spills.
 HOT = 50_000
 #: Rows that a task compares at a time, and rows of a combination up to which many combinations are compared together.
-READ, FEW = 100_000, 48
+READ, FEW = 30_000, 48
+#: Pairs that the first look let through and that are held against all bits at a time: a bound of a task's memory.
+SIFT = 100_000
 #: Members of a class of exact copies up to which all pairs are written; beyond, each copy is linked to the smallest id.
 COPIES = 64
 
@@ -191,7 +193,23 @@ def _close(part: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     ends = np.append(starts[1:], len(sig))
     size = ends - starts
-    found_i, found_j = [], []
+    longs = [part[c].view(np.uint64) for c in SKETCH]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sift(all_: bool = False) -> None:
+        """Hold what the first look let through against sizes and all bits, some at a time."""
+        if waiting and (all_ or sum(len(i) for i, _ in waiting) > SIFT):
+            i, j = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            most, least = (n[i] + n[j]) * share + 1e-9, np.minimum(n[i], n[j])
+            keep = np.maximum(n[i], n[j]) * t <= least + 1e-9
+            for above, of in ((0, _narrow), (WIDE, _wide), (WIDEST, _widest)):
+                look = np.flatnonzero(keep & (least > above))
+                d = [x[i[look]] ^ x[j[look]] for x in longs]
+                keep[look] = sum(np.bitwise_count(x).astype(np.int64) for x in of(d)) <= most[look]
+            out.append((i[keep], j[keep]))
+
     # groups of few rows together: each row with the row s places on, while that is of its group and not too large
     few = (size > 1) & (size <= FEW)
     left = _ranges(starts[few], ends[few])
@@ -205,8 +223,8 @@ def _close(part: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
         stay = n[j] * t <= n[left] + 1e-9
         left, end, j = left[stay], end[stay], j[stay]
         near = np.bitwise_count(f1[left] ^ f1[j]).astype(np.int64) + np.bitwise_count(f2[left] ^ f2[j]) <= (n[left] + n[j]) * share + 1e-9
-        found_i.append(left[near])
-        found_j.append(j[near])
+        waiting.append((left[near], j[near]))
+        sift()
     # larger groups by blocks of rows against all rows that are not too large for them
     for a, b in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
         own = n[a:b]
@@ -219,18 +237,25 @@ def _close(part: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
                 bits = np.bitwise_count(f1[i:e, None] ^ f1[None, k:stop]) + np.bitwise_count(f2[i:e, None] ^ f2[None, k:stop])
                 x, y = np.nonzero(bits <= most)
                 keep = y + k > x + i
-                found_i.append(x[keep] + i)
-                found_j.append(y[keep] + k)
-    if not found_i:
+                waiting.append((x[keep] + i, y[keep] + k))
+            sift()
+    sift(all_=True)
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    d = [part[c].view(np.uint64)[i] ^ part[c].view(np.uint64)[j] for c in SKETCH]
-    wide = [d[0] ^ d[2], d[1] ^ d[3], d[2], d[3]]
-    widest = [x ^ y for x, y in zip(wide, d[4:])] + d[4:]
-    most, least = (n[i] + n[j]) * share + 1e-9, np.minimum(n[i], n[j])
-    close = lambda longs: sum(np.bitwise_count(x).astype(np.int64) for x in longs) <= most
-    keep = (np.maximum(n[i], n[j]) * t <= least + 1e-9) & close(d[:2]) & ((least <= WIDE) | close(wide)) & ((least <= WIDEST) | close(widest))
-    return i[keep], j[keep]
+    i, j = (np.concatenate(x) for x in zip(*out))
+    return i, j
+
+
+def _narrow(d: list[np.ndarray]) -> list[np.ndarray]:
+    return d[:2]
+
+
+def _wide(d: list[np.ndarray]) -> list[np.ndarray]:
+    return [d[0] ^ d[2], d[1] ^ d[3], d[2], d[3]]
+
+
+def _widest(d: list[np.ndarray]) -> list[np.ndarray]:
+    return [x ^ y for x, y in zip(_wide(d), d[4:])] + d[4:]
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
