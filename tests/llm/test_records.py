@@ -82,15 +82,6 @@ def test_large_classes_of_copies_become_stars(spark):
     assert found == {("c000", f"c{k:03d}") for k in range(1, 12)} | {("c000", "d")}
 
 
-def test_hot_combinations_take_the_join(spark, rows, monkeypatch):
-    monkeypatch.setattr(N, "HOT", 3)
-    monkeypatch.setattr(N, "READ", 1)
-    monkeypatch.setattr(N, "FEW", 4)
-    _, want = _brute(rows)
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert {tuple(r) for r in N.near_duplicate_pairs(df).select("id_a", "id_b").collect()} == want
-
-
 def test_groups_hold_every_link(spark, rows):
     texts, want = _brute(rows)
     found = {r["id"]: r for r in N.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
