@@ -236,7 +236,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
     out = None
     last = None
     while True:
-        block = named if last is None else named.filter(F.col("i") > last)
+        block = named if last is None else named.filter((F.col("i") > last[0]) | (F.col("i") == last[0]) & (F.col("t") > last[1]))
         taken = [(r[0], r[1]) for r in block.orderBy("i", "t").limit(ITEM_BLOCK).collect()]
         if not taken and out is not None:
             break
@@ -252,5 +252,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
         out = part if out is None else out.unionByName(part)
         if len(taken) < ITEM_BLOCK:
             break
-        last = taken[-1][0]
+        last = taken[-1]
     return out.groupBy(key, item_key).agg(F.max("words").alias("words"))
