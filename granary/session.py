@@ -94,6 +94,11 @@ def _remove_written() -> None:
 
 
 def enough_tasks(df: DataFrame) -> DataFrame:
-    """The rows as they are read where that gives every core a task; dealt out only where a few files would not."""
+    """The rows as they are read where that gives every core a task; dealt out only where a few files would not.
+
+    Splits of a file without a row group's start hold no rows, so few files count as few tasks, whatever the splits.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else spread(df, per_core=1)
+    parts = df.rdd.getNumPartitions()
+    few = parts < cores or parts <= 4 * cores and 0 < len(df.inputFiles()) < cores
+    return spread(df, per_core=1) if few else df
