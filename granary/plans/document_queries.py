@@ -191,8 +191,9 @@ FIRST_PASS = "select source, case when source_status is null then 'blocked' when
 
 
 def template_variants(spark, d):
-    forms = spark.createDataFrame([(1, "What is a %s?"), (2, "Describe the %s."), (3, "Where would you use a %s?")], "variant int, form string")
-    return table(spark, d, "part").select("p_partkey", "p_name").crossJoin(F.broadcast(forms)).select("p_partkey", "variant", F.replace("form", F.lit("%s"), F.col("p_name")).alias("prompt"))
+    forms = ("What is a %s?", "Describe the %s.", "Where would you use a %s?")
+    variants = F.array(*[F.struct(F.lit(k).alias("variant"), F.replace(F.lit(form), F.lit("%s"), F.col("p_name")).alias("prompt")) for k, form in enumerate(forms, 1)])
+    return table(spark, d, "part").select("p_partkey", F.inline(variants))
 
 
 TEMPLATES = "select p_partkey, variant, replace(form, '%s', p_name) as prompt from part cross join (values (1, 'What is a %s?'), (2, 'Describe the %s.'), (3, 'Where would you use a %s?')) t(variant, form)"

@@ -27,13 +27,19 @@ LATEST = f"select run_id, candidate_id, task_id, attempt, status, finish_reason,
 
 
 def pending_tasks(spark, d):
-    """Tasks of each run and candidate met in the log whose latest attempt did not succeed, or that were never tried."""
-    last = latest_rows(spark, d).select(*KEY, "status")
-    pairs = last.select("run_id", "candidate_id").distinct()
+    """Tasks of each run and candidate met in the log whose latest attempt did not succeed, or that were never tried.
+
+    Counted from what was tried and the number of tasks, so the pairs of all runs and tasks are never made.
+    """
     tasks = table(spark, d, "tutor_tasks").filter("split = 'benchmark-only'").select(F.col("id").alias("task_id"))
-    every = pairs.crossJoin(tasks)
-    state = every.join(last, KEY, "left")
-    return state.filter(F.coalesce("status", F.lit("")) != "ok").groupBy("run_id", "candidate_id").agg(F.count("*").alias("pending"), F.sum(F.col("status").isNotNull().cast("long")).alias("failed"))
+    total = tasks.count()
+    last = latest_rows(spark, d).select(*KEY, "status")
+    held = last.join(tasks.withColumn("held", F.lit(True)), "task_id", "left")
+    tried = held.groupBy("run_id", "candidate_id").agg(
+        F.sum((F.coalesce("held", F.lit(False)) & (F.col("status") == "ok")).cast("long")).alias("done"),
+        F.sum((F.coalesce("held", F.lit(False)) & (F.col("status") != "ok")).cast("long")).alias("failed"),
+    )
+    return tried.select("run_id", "candidate_id", (F.lit(total) - F.col("done")).cast("long").alias("pending"), "failed").filter("pending > 0")
 
 
 PENDING = f"""
@@ -92,8 +98,8 @@ def missing_pairs(spark, d):
     rows = table(spark, d, "bakeoff_results").select("candidate_id", "task_id").distinct()
     seen = rows.groupBy("candidate_id").agg(F.count("*").alias("seen"))
     known = rows.join(tasks, "task_id", "left_semi").groupBy("candidate_id").agg(F.count("*").alias("known"))
-    total = tasks.agg(F.count_distinct("task_id").alias("total"))
-    return seen.join(known, "candidate_id", "left").crossJoin(F.broadcast(total)).select("candidate_id", (F.col("total") - F.coalesce("known", F.lit(0))).alias("missing"))
+    total = tasks.distinct().count()
+    return seen.join(known, "candidate_id", "left").select("candidate_id", (F.lit(total) - F.coalesce("known", F.lit(0))).alias("missing")).filter("missing > 0")
 
 
 MISSING = """
