@@ -28,8 +28,6 @@ from granary.session import enough_tasks, spread, written
 
 #: Bound of the training sample of pairs, taken in the order of a hash of their content.
 SAMPLE_PAIRS = 3_000
-#: Share of the answers that could have a language which the question neither uses nor names, from which it is usual.
-USUAL = 0.05
 DEFECTS = ("empty", "truncated", "refusal", "echo", "wrong_language")
 
 #: What stands in an answer's place, after case and all but letters and digits are removed.
@@ -64,8 +62,9 @@ REFUSALS = {
         ["", "", "Tafadhali muulize mwalimu wa {}.", "Unaweza kuwasiliana na {}.", "Je, kuna kingine unachohitaji?", "Kanuni zangu haziruhusu.", "Jaribu swali lingine."],
     ),
 }
-#: How a question may name a language that it asks for.
-ASKED = {"rw": re.compile(r"kinyarwanda|`"), "en": re.compile(r"english|cyongereza|anglais|kiingereza"), "fr": re.compile(r"french|français|francais|gifaransa|kifaransa"), "sw": re.compile(r"swahili|giswahili|souahéli")}
+#: How a question may name a language that it asks for. To write an exchange between people is an exercise
+#: in Kinyarwanda, whatever language it is set in.
+ASKED = {"rw": re.compile(r"kinyarwanda|`|\b(?:exchange|dialogue|conversation)\s+between\b"), "en": re.compile(r"english|cyongereza|anglais|kiingereza"), "fr": re.compile(r"french|français|francais|gifaransa|kifaransa"), "sw": re.compile(r"swahili|giswahili|souahéli")}
 
 _CLAUSE = re.compile(r"(?<=[.!?…。])[\"'”’»)\]`*]*\s+(?=\S)|\n+")
 _PLAIN = re.compile(r"[^\w]|_")
@@ -151,18 +150,14 @@ class EndModel:
 class PairTagger:
     """The trained field with what its features need."""
 
-    def __init__(self, models: PpmModels, ends: EndModel, cues: frozenset, usual: dict[str, frozenset]):
-        self.models, self.ends, self.cues, self.usual = models, ends, cues, usual
+    def __init__(self, models: PpmModels, ends: EndModel, cues: frozenset):
+        self.models, self.ends, self.cues = models, ends, cues
         self.crf: Crf | None = None
 
-    def allowed(self, question: str, langs: list[str], own: int | None = None) -> frozenset:
-        """Languages that an answer may have: those the question uses or names, and those usual after its language.
-
-        langs are those of the question's own pieces, of which there are `own`, and then of the pieces it cites.
-        """
+    def allowed(self, question: str, langs: list[str]) -> frozenset:
+        """Languages that an answer may have: those the question uses, langs of its own and cited pieces, or asks for."""
         low = question.casefold()
-        first = _most(langs[:own])
-        return frozenset(langs) | {k for k, r in ASKED.items() if r.search(low)} | self.usual.get(first, frozenset())
+        return frozenset(langs) | {k for k, r in ASKED.items() if r.search(low)}
 
     def features(self, question: str, parts: list[str], bare_parts: list[str], langs: list[str], margins: list[float], allowed: frozenset) -> list[list[str]]:
         asked = set(words(question)) | LABELS
@@ -211,8 +206,8 @@ class PairTagger:
         said = [langs[e - len(ps) : e] for e, ps in zip(ends, bare)]
         may = [frozenset(k for k, r in ASKED.items() if r.search(low)) for low in (q.casefold() for q, _ in rows)]
         open_ = [n for n, ls in enumerate(said) if not may[n].issuperset(ls)]
-        for n, (ls, own) in zip(open_, _piece_languages(self.models, [rows[n][0] for n in open_], True)):
-            may[n] = self.allowed(rows[n][0], ls, own)
+        for n, (ls, _) in zip(open_, _piece_languages(self.models, [rows[n][0] for n in open_], True)):
+            may[n] = self.allowed(rows[n][0], ls)
         return [self.features(q, parts, bs, ls, margins[e - len(parts) : e], m) for (q, parts), bs, ls, e, m in zip(rows, bare, said, ends, may)]
 
     def tag(self, pairs: list[tuple[str, str]]) -> list[tuple[list[str], list[str]]]:
@@ -278,17 +273,9 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
     strong = re.compile(r"\b(?:decline|unable|refuse|can't help|cannot help|not able to|won't be able|sorry|apologi[sz]e|nanze|nemerewe|sinshobora|simbishoboye|birababaje|mumbabarire|ihangane|regrette|désolé|impossible|malheureusement|siwezi|samahani|nothing i can say|outside what)\b", re.I)
     whole = [c for _, a in pairs for c in clauses(a) if c.rstrip()[-1:] in ".!?"]
     lines = [x for _, a in pairs for x in a.split("\n")[:-1] if _ITEM.match(x) or _ENTRY.match(x)]
-    tagger = PairTagger(models, EndModel([c.rstrip(" .!?") for c in [*whole, *lines]]), cues, {})
+    tagger = PairTagger(models, EndModel([c.rstrip(" .!?") for c in [*whole, *lines]]), cues)
     asked_in, said_in = _piece_languages(models, [q for q, _ in pairs], True), _piece_languages(models, [a for _, a in pairs])
-    could, did = Counter(), Counter()
-    for (q, _), (ql, own), (al, _) in zip(pairs, asked_in, said_in):
-        may = tagger.allowed(q, ql, own)
-        for lang in REFUSALS:
-            if own and lang not in may:
-                could[_most(ql[:own]), lang] += 1
-                did[_most(ql[:own]), lang] += _most(al) == lang
-    tagger.usual = {x: frozenset(k for k in REFUSALS if did[x, k] >= max(3, USUAL * could[x, k])) for x in REFUSALS}
-    fits = [not al or not own or _most(al) in tagger.allowed(q, ql, own) for (q, _), (ql, own), (al, _) in zip(pairs, asked_in, said_in)]
+    fits = [not al or not own or _most(al) in tagger.allowed(q, ql) for (q, _), (ql, own), (al, _) in zip(pairs, asked_in, said_in)]
     by_lang: dict[str, list[str]] = {}
     langs, sure = classify(models, whole[:6000])
     for c, lang, p in zip(whole, langs, sure):
@@ -298,7 +285,7 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
     from granary.llm.seeds import SEED_TEXTS
 
     data: list[tuple[str, list[tuple[str, str]]]] = []
-    for (q, a), (ql, own), fit_lang in zip(pairs, asked_in, fits):
+    for (q, a), (ql, _), fit_lang in zip(pairs, asked_in, fits):
         parts = clauses(a)
         asked = set(words(q))
         flat = words(a)
@@ -330,7 +317,7 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
             hedge = rnd.choice(_HEDGES)
             data.append((q, [(hedge, "answer"), *good]))
         else:
-            have = tagger.allowed(q, ql, own)
+            have = tagger.allowed(q, ql)
             other = rnd.choice([lang for lang in REFUSALS if lang not in have] or ["fr"])
             pool = texts_of[other] if len(texts_of[other]) >= 20 else texts_of[other] + [t for t in SEED_TEXTS[other]]
             data.append((q, [(rnd.choice(pool), "foreign") for _ in range(rnd.randint(1, 3))]))

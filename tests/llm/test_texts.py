@@ -122,6 +122,17 @@ def test_defects_of_plain_cases(tagger):
     assert got == cases
 
 
+def test_a_frequent_wrong_language_stays_a_defect(spark, data):
+    pairs = pair_defects.sample_pairs(spark.read.parquet(f"{data}/sft_records.parquet"))
+    french = "L'infirmière a acheté un vélo rouge au marché parce que la pluie était forte. Le voisin a vendu la lampe."
+    rwanda = "Ku wa gatatu umucuruzi yaguze igare ku isoko kubera ko imvura yari nyinshi. Abaturanyi basomye ibaruwa mu rugo."
+    plain, exchange = "Why did the driver sell a blue bicycle at the market of Huye?", "Write a short exchange between Kana and Kezi in Huye. Start from: The driver sold a blue bicycle."
+    made = [(f"{plain[:-1]} in year {1900 + k}?", (french, rwanda)[k % 2]) for k in range(len(pairs))]
+    tagger = pair_defects.fit([p for both in zip(pairs, made) for p in both])
+    want = {(plain, french): "wrong_language", (plain, rwanda): "wrong_language", (exchange, rwanda): None, (exchange, french): "wrong_language"}
+    assert {p: pair_defects.defect_of(p[1], *t) for p, t in zip(want, tagger.tag(list(want)))} == want
+
+
 def test_held_out_broken_copies(spark, data, tagger):
     rnd = random.Random(77)
     pairs = [p for p in pair_defects.sample_pairs(spark.read.parquet(f"{data}/sft_records.parquet")) if p[1] and p[1].rstrip()[-1:] == "." and len(p[1]) > 150][:150]
