@@ -77,6 +77,32 @@ select id, min(root) as group_id from w group by id
 """
 
 
+#: What a grouping key says when it is not known, after case and all but letters and digits are removed.
+NOT_KNOWN = (
+    "", "na", "none", "null", "nil", "nan", "unknown", "notknown", "unk", "tbd", "tba", "tbc", "undefined", "und",
+    "unspecified", "notspecified", "missing", "notavailable", "notapplicable", "empty", "blank", "pending", "nodata",
+    "notgiven", "notset", "unset", "untitled", "inconnu", "ntakizwi", "haijulikani", "ntibizwi",
+)
+GROUPING_KEYS = ("content_key", "source_group_id", "source_document_id")
+
+
+def connected_records_any_key(spark, d):
+    """(id, group_id) of every id: the smallest id of those it shares any grouping key with, directly or through others.
+
+    Keys are the known values of the three fields, whatever their spelling, and the normal forms of each user and each
+    assistant message. No record is left out: one that shares nothing is its own group.
+    """
+    rows = table(spark, d, "sft_records").filter("id is not null")
+    said = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    named = F.array(*[F.struct(F.lit(k).alias("field"), said(F.col(k)).alias("key")) for k in GROUPING_KEYS])
+    fields = rows.select("id", F.inline(named)).filter(~F.col("key").isin(*NOT_KNOWN))
+    texts = rows.select("id", F.inline(F.transform("messages", lambda m: F.struct(m["role"].alias("field"), T.leakage_text(m["content"]).alias("key")))))
+    texts = texts.filter("field in ('user', 'assistant') and key <> ''").withColumn("key", F.sha2("key", 256))
+    found = connected_components(star_edges(fields.unionByName(texts), "id", ["field", "key"]))
+    ids = rows.select("id").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    return ids.select("id", F.coalesce("component", "id").alias("group_id"))
+
+
 def grouped_split(spark, d):
     groups = _docs(spark, d).groupBy(F.coalesce("source", F.lit("none")).alias("group_id")).agg(F.count("*").alias("n"))
     return O.ordered_fill(groups, 0.9, "split").select("group_id", "n", "split")
@@ -239,6 +265,7 @@ TOP_TWO = "select source, k, doc_id, n_chars from (select source, doc_id, n_char
 QUERIES = {
     "normalized_text_hash": normalized_text_hash, "draft_text_hash": draft_text_hash, "exact_duplicate_groups": exact_duplicate_groups,
     "dedup_keep_first": dedup_keep_first, "dropped_duplicates_map": dropped_duplicates_map, "connected_records": connected_records,
+    "connected_records_any_key": connected_records_any_key,
     "grouped_split": grouped_split, "hash_bucket_split": hash_bucket_split, "positional_split": positional_split, "round_robin_shards": round_robin_shards,
     "seeded_hash_shuffle": seeded_hash_shuffle, "word_stats": word_stats, "corpus_ratio_by_lang_with_all": corpus_ratio_by_lang,
     "most_fragmented_example": most_fragmented, "category_counts_vs_target": category_counts_vs_target, "size_class_manifest": size_class_manifest,

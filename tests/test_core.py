@@ -68,6 +68,21 @@ def test_hot_nodes_take_the_broadcast_path(spark, monkeypatch):
     assert found == _union_find(edges)
 
 
+def test_records_are_connected_by_any_key(spark, tmp_path):
+    from granary.plans import registry
+
+    said = lambda q, a: [{"role": "system", "content": "be kind"}, {"role": "user", "content": q}, {"role": "assistant", "content": a}]
+    rows = [
+        ("a", "CK_01", None, None, said("one", "1")), ("b", " ck:01 ", "G7", None, said("two", "2")), ("c", None, "g-7", "D 9", None),
+        ("d", "unknown", "N/A", "d/9", said("four", "4")), ("e", "Unknown", "n/a", "", said("five", "5")), ("f", "d9", None, None, said("Six, please!", "6")),
+        ("g", None, None, None, said("six please", "7")), ("h", None, None, None, said("7", "...")), (None, "ck01", None, None, None),
+    ]
+    schema = "id string, content_key string, source_group_id string, source_document_id string, messages array<struct<role:string,content:string>>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sft_records.parquet")
+    found = {r["id"]: r["group_id"] for r in registry.QUERIES["connected_records_any_key"](spark, str(tmp_path)).collect()}
+    assert found == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f", "g": "f", "h": "h"}
+
+
 def test_ordinals_are_gapless_and_in_order(spark):
     df = spark.createDataFrame([(f"k{(k * 7919) % 1000:04d}", k) for k in range(1000)], "key string, x int")
     rows = sorted((r["ordinal"], r["key"]) for r in O.with_ordinal(df, "key").collect())
