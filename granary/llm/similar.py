@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from operator import add, xor
 
@@ -210,10 +211,10 @@ def met_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return table.join(small_or_shuffled(ends), "rid", "left_semi")
 
 
-def verified(pairs: DataFrame, table: DataFrame, keep: list[str], t: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, table: DataFrame, keep: list[str], t: float = SIMILARITY, shares: Callable | None = None) -> DataFrame:
     """The pairs (a, b, and more) of rids whose exact similarity is at least t, with it and the kept columns of both texts.
 
-    A column c of the table comes back as c_a and c_b.
+    A column c of the table comes back as c_a and c_b; with shares, what it says of the words of both as share_a, share_b.
     """
     more = [c for c in pairs.columns if c not in ("a", "b")]
     met = met_by(pairs, table.select("rid", "said", *keep))
@@ -224,7 +225,13 @@ def verified(pairs: DataFrame, table: DataFrame, keep: list[str], t: float = SIM
     def run(batches):
         for b in batches:
             s = [similarity(x.split("\n"), y.split("\n")) for x, y in zip(b["said_a"], b["said_b"])]
-            out = b[kept].assign(similarity=pd.Series(s, index=b.index, dtype="float64"))
-            yield from emit(out[out["similarity"] >= t - 1e-12])
-
-    return both.mapInPandas(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept) + ", similarity double")
+            b = b.assign(similarity=pd.Series(s, index=b.index, dtype="float64"))
+            b = b[b["similarity"] >= t - 1e-12]
+            out = b[[*kept, "similarity"]]
+            if shares:
+                both_shares = [shares(x.split("\n"), y.split("\n")) for x, y in zip(b["said_a"], b["said_b"])]
+                out = out.assign(**{f"share_{x}": pd.Series([p[k] for p in both_shares], index=b.index, dtype="float64") for k, x in enumerate("ab")})
+            yield from emit(out)
+
+    more_columns = ", similarity double" + (", share_a double, share_b double" if shares else "")
+    return both.mapInPandas(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept) + more_columns)

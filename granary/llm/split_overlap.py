@@ -1,8 +1,8 @@
 """Problem 4: same or near-same records across splits, by content-defined chunks.
 
 A record's normalised words are cut where a rolling hash over the last bytes says so, so that an edit moves no cut but
-its own. Chunk digests are joined across splits and the lengths of the shared chunks are summed into the fraction of
-each record that the other side holds. Chunks are put in one order, rare ones first, and a record is indexed by its
+its own. Chunk digests are joined across splits, and the lengths of all chunks that two similar records share are summed
+into the fraction of each that the other holds. To find them, chunks are put in one order, rare ones first, and a record is indexed by its
 first chunks that cover more than 1 - MIN_OVERLAP of its words: two records that share at least MIN_OVERLAP of the larger
 one's words in chunks meet there, whatever chunks are common to many.
 """
@@ -75,6 +75,14 @@ def chunks(ws: list[str], cuts: Cuts) -> list[tuple[int, int]]:
     return out
 
 
+def shared_fractions(a: list[str], b: list[str]) -> tuple[float, float]:
+    """The share of each text's words that lies in chunks which the other has too; a repeated chunk counts as often as both have it."""
+    cuts = Cuts()
+    ca, cb = Counter(chunks(a, cuts)), Counter(chunks(b, cuts))
+    shared = sum(size * n for (_, size), n in (ca & cb).items())
+    return shared / len(a), shared / len(b)
+
+
 def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
 
@@ -141,8 +149,8 @@ def _sides(records: DataFrame, tasks: DataFrame | None) -> DataFrame:
 def overlaps(records: DataFrame, tasks: DataFrame | None = None, t: float = SIMILARITY) -> DataFrame:
     """(train_key, eval_key, part, train_source, eval_source, train_fraction, eval_fraction, similarity) of overlapping texts.
 
-    The fractions are the shares of each text's words in chunks that both hold, of those indexed; the similarity is
-    exact. Texts without words overlap nothing; null and draft splits are on neither side; repeated deliveries are one
+    The fractions are the shares of each text's words in chunks that both hold, counted over whole texts; the similarity
+    is exact. Texts without words overlap nothing; null and draft splits are on neither side; repeated deliveries are one
     record; tasks are compared with the user messages of training records. An empty table gives no rows.
     """
     table = _sides(records, tasks)
@@ -157,9 +165,9 @@ def overlaps(records: DataFrame, tasks: DataFrame | None = None, t: float = SIMI
         left = left.unionByName(lines)
     a, b = left.alias("a"), right.alias("b")
     met = a.join(b, (F.col("a.digest") == F.col("b.digest")) & may_be_similar("a", "b", t))
-    shared = met.groupBy(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).agg(F.sum(F.least("a.words", "b.words")).alias("shared"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    found = verified(written(shared), table, ["key", "part", "source"], t)
-    fractions = (F.col("shared") / F.col("na")).alias("train_fraction"), (F.col("shared") / F.col("nb")).alias("eval_fraction")
+    pairs = met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+    found = verified(written(pairs), table, ["key", "part", "source"], t, shared_fractions)
+    fractions = F.col("share_a").alias("train_fraction"), F.col("share_b").alias("eval_fraction")
     return found.select(F.col("key_a").alias("train_key"), F.col("key_b").alias("eval_key"), F.col("part_b").alias("part"), F.col("source_a").alias("train_source"), F.col("source_b").alias("eval_source"), *fractions, "similarity")
 
 

@@ -140,6 +140,19 @@ def test_fractions_of_an_exact_copy_are_whole(spark):
     assert found[0]["train_fraction"] > 1 - O.MIN_OVERLAP - 0.1 and found[0]["similarity"] == 1.0
 
 
+def test_fractions_count_every_shared_chunk(spark):
+    ws = [f"word{k}" for k in range(300)]
+    edited = [*ws[:150], "new", *ws[151:]]
+    rows = [_rec("a", " ".join(ws)), _rec("b", " ".join(ws), "validation"), _rec("c", " ".join(edited), "validation")]
+    found = {r["eval_key"]: (r["train_fraction"], r["eval_fraction"]) for r in O.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found["b"] == (1.0, 1.0)
+    cuts = O.Cuts()
+    texts = {r[0]: [w for m in r[3] for w in S.words(m["content"])] for r in rows}
+    held = {d: n for d, n in O.chunks(texts["c"], cuts)}
+    shared = sum(n for d, n in O.chunks(texts["a"], cuts) if d in held)
+    assert found["c"] == pytest.approx((shared / len(texts["a"]), shared / len(texts["c"]))) and found["c"][0] > 0.95
+
+
 def test_chunks_cover_a_text_and_move_only_where_it_is_edited():
     ws = [f"w{k * 37 % 101}" for k in range(200)]
     cuts = O.Cuts()
