@@ -2,15 +2,18 @@
 
 A record's normalised words are cut where a rolling hash over the last bytes says so, so that an edit moves no cut but
 its own. Chunk digests are joined across splits, and the lengths of all chunks that two similar records share are summed
-into the fraction of each that the other holds. To find them, chunks are put in one order, rare ones first, and a record is indexed by its
-first chunks that cover more than 1 - MIN_OVERLAP of its words: two records that share at least MIN_OVERLAP of the larger
-one's words in chunks meet there, whatever chunks are common to many.
+into the fraction of each that the other holds. To find them, chunks are put in one order, rare ones first, and a record
+is indexed by its first chunks that cover more than 1 - MIN_OVERLAP of its words: two records that share at least
+MIN_OVERLAP of the larger one's words in chunks meet there, whatever chunks are common to many. Texts may be similar and
+share no chunk, with scattered edits or their words in another order; so each is indexed by the token-combination prefix of
+granary.llm.near_duplicates besides, with as few classes as make it lossless for every size.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.grouped_splits import split_class
-from granary.llm.similar import MESSAGE, SIMILARITY, SKETCH, index_schema, may_be_similar, plain_words, record_words, small_or_shuffled, verified
+from granary.llm.near_duplicates import Order, token_numbers
+from granary.llm.similar import MESSAGE, SIMILARITY, SKETCH, index_schema, may_be_similar, plain_words, record_words, small_or_shuffled, tokens, verified
 from granary.session import written
 
 #: A cut falls after one word in CUT on average, no chunk has fewer than LEAST or more than MOST words.
@@ -32,6 +36,9 @@ MIN_OVERLAP = 0.1
 DICTIONARY = 100_000
 #: Records from which a chunk counts as frequent.
 FREQUENT = 20
+#: Classes of the prefix. A prefix of n tokens counts n - 20 at least, which exceeds what may be lacking at 0.7 from 29
+#: tokens on; smaller sets, and all that may be similar to one, have at most 40 tokens and are indexed by single ones.
+PREFIX_CLASSES = 20
 
 
 def rolling_cut(word: str, every: int = CUT) -> bool:
@@ -105,31 +112,46 @@ def chunk_numbers(table: DataFrame, most: int = DICTIONARY, frequent: int = FREQ
     return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "digest").limit(most).collect()}
 
 
-def chunk_index(table: DataFrame, numbers: dict[int, int], least: float = MIN_OVERLAP) -> DataFrame:
-    """(digest, words, rid, n, sketch) of the chunks that a text is indexed by; the digest holds the kind of text."""
-    held = table.sparkSession.sparkContext.broadcast(numbers)
+def prefix_order(table: DataFrame) -> Order:
+    """The order of tokens, by the texts of a table that hold them; any order is lossless."""
 
     def run(batches):
-        cuts, known = Cuts(), held.value.get
         for b in batches:
-            at, digests, sizes = [], [], []
-            for k, (said, kind) in enumerate(zip(b.column("said").to_pylist(), b.column("kind").to_pylist())):
+            counts = Counter(x for said in b.column("said").to_pylist() for x in tokens(said.split("\n")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["said", "n"])
+
+    return Order(token_numbers(table.select("said").mapInArrow(run, "said string, n long")), PREFIX_CLASSES)
+
+
+def overlap_index(table: DataFrame, numbers: dict[int, int], order: Order, t: float = SIMILARITY, least: float = MIN_OVERLAP) -> DataFrame:
+    """(digest, rid, n, sketch) of the chunks and of the token combinations that a text is indexed by.
+
+    The digest holds the kind of text.
+    """
+    held, prefix = table.sparkSession.sparkContext.broadcast(numbers), table.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        cuts, known = Cuts(), held.value.get
+        for b in (b.slice(k, 2_000) for b in batches for k in range(0, b.num_rows, 2_000)):
+            at, digests = [], []
+            texts, kinds = [said.split("\n") for said in b.column("said").to_pylist()], b.column("kind").to_numpy()
+            for k, (ws, kind) in enumerate(zip(texts, kinds.tolist())):
                 own: dict[int, int] = {}
-                for d, size in chunks(said.split("\n"), cuts):
+                for d, size in chunks(ws, cuts):
                     own[d] = own.get(d, 0) + size
                 cover, need = 0, (1 - least) * sum(own.values()) + 1e-9
                 for _, d in sorted((known(d, 0), d) for d in own):
                     at.append(k)
                     digests.append(d ^ kind)
-                    sizes.append(own[d])
                     cover += own[d]
                     if cover > need:
                         break
-            take = pa.array(at, pa.int64())
-            columns = [pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), b.column("rid").take(take), b.column("n").take(take), *[b.column(s).take(take) for s in SKETCH]]
+            owner, sigs = prefix.value.signatures([tokens(ws) for ws in texts], t)
+            take = pa.array(np.concatenate([np.array(at, np.int64), owner]))
+            columns = [pa.array(np.concatenate([np.array(digests, np.int64), sigs ^ kinds[owner]])), b.column("rid").take(take), b.column("n").take(take), *[b.column(s).take(take) for s in SKETCH]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = index_schema(("digest", T.LongType()), ("words", T.IntegerType()), ("rid", T.LongType()))
+    schema = index_schema(("digest", T.LongType()), ("rid", T.LongType()))
     return table.select("rid", "said", "kind", "n", *SKETCH).mapInArrow(run, schema)
 
 
@@ -154,13 +176,14 @@ def overlaps(records: DataFrame, tasks: DataFrame | None = None, t: float = SIMI
     record; tasks are compared with the user messages of training records. An empty table gives no rows.
     """
     table = _sides(records, tasks)
-    numbers = chunk_numbers(table)
-    right = chunk_index(table.filter("part <> 'train'"), numbers)
-    left = chunk_index(table.filter("part = 'train' and kind = 0"), numbers)
+    numbers, order = chunk_numbers(table), prefix_order(table.filter("part <> 'train'"))
+    index = lambda rows: overlap_index(rows, numbers, order, t)
+    right = index(table.filter("part <> 'train'"))
+    left = index(table.filter("part = 'train' and kind = 0"))
     if tasks is not None:
-        # user messages are many and tasks few: only the chunks of messages that a task has move on
-        lines = chunk_index(table.filter("part = 'train' and kind = 1"), numbers)
-        asked = written(chunk_index(table.filter("part <> 'train' and kind = 1"), numbers).select("digest").distinct())
+        # user messages are many and tasks few: only what a task is indexed by too moves on
+        lines = index(table.filter("part = 'train' and kind = 1"))
+        asked = written(index(table.filter("part <> 'train' and kind = 1")).select("digest").distinct())
         lines = lines.join(small_or_shuffled(asked), "digest", "left_semi")
         left = left.unionByName(lines)
     a, b = left.alias("a"), right.alias("b")

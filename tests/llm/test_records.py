@@ -132,6 +132,25 @@ def test_overlaps_across_splits(spark, rows):
     assert len(records) >= 0.95 * len(want)
 
 
+def test_texts_without_a_common_chunk_overlap(spark):
+    rnd = random.Random(8)
+    vocab = [f"v{k}" for k in range(200)]
+    rows, prompts, want = [], [], set()
+    for k, n in enumerate([4, 9, 14, 20, 27, 28, 29, 34, 40, 41, 60, 86, 120, 250] * 3):
+        ws = [rnd.choice(vocab) for _ in range(n)]
+        mixed = rnd.sample(ws, n)
+        for at in rnd.sample(range(n), n * 15 // 100):
+            mixed[at] = rnd.choice(vocab)
+        if S.similarity(ws, mixed) >= S.SIMILARITY:
+            want |= {(f"e{k}", f"t{k}"), (f"T{k}", f"t{k}")}
+        # only the user message is similar to the prompt, and the whole record to the evaluation record
+        rows += [(i, split, "src", [{"role": "user", "content": " ".join(x)}, {"role": "assistant", "content": "yes"}], None, None, None, None, 1, 1) for i, split, x in ((f"t{k}", "train", ws), (f"e{k}", "validation", mixed))]
+        prompts.append((f"T{k}", "benchmark-only", " ".join(mixed)))
+    tasks = spark.createDataFrame(prompts, "id string, split string, prompt string")
+    assert len(want) > 60
+    assert want <= {tuple(r) for r in O.overlap_pairs(spark.createDataFrame(rows, SCHEMA), tasks).collect()}
+
+
 def test_fractions_of_an_exact_copy_are_whole(spark):
     text = " ".join(f"word{k}" for k in range(60))
     rows = [_rec("a", text), _rec("b", text, "validation"), _rec("c", "other words here and there", "validation")]
