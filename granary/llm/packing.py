@@ -48,8 +48,11 @@ def encoding(path: str = TOKENIZER):
     return _OPEN[path]
 
 
-def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, tokens, loss_tokens) of texts with columns key, parts (array<struct<text, loss boolean>>)."""
+def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER, with_runs: bool = False) -> DataFrame:
+    """(key, tokens, loss_tokens) of texts with columns key, parts (array<struct<text, loss boolean>>).
+
+    With with_runs, also runs: the tokens of each part in order, below zero where they bear no loss.
+    """
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -66,16 +69,54 @@ def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZE
             total, bearing = np.zeros(len(b), "int64"), np.zeros(len(b), "int64")
             np.add.at(total, owner, sizes)
             np.add.at(bearing, owner, [s if q else 0 for s, q in zip(sizes, loss)])
-            yield from emit(pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing}))
+            out = pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing})
+            if with_runs:
+                runs: list[list[int]] = [[] for _ in range(len(b))]
+                for n, s, q in zip(owner, sizes, loss):
+                    runs[n].append(s if q else -s)
+                out["runs"] = pd.Series(runs, index=b.index, dtype="object")
+            yield from emit(out)
+
+    return spread(texts.select(key, "parts")).mapInPandas(run, f"{key} {kind}, tokens long, loss_tokens long" + (", runs array<long>" if with_runs else ""))
+
+
+def cut_runs(runs: list[int], limits: Limits) -> list[tuple[int, int]]:
+    """(tokens, loss_tokens) of the pieces of a text, each as long as both limits allow; runs below zero bear no loss."""
+    out, size, bearing = [], 0, 0
+    for run in runs:
+        left = abs(run)
+        while left:
+            room = min(left, limits.tokens - size, limits.loss_tokens - bearing if run > 0 else left)
+            if not room:
+                out.append((size, bearing))
+                size = bearing = 0
+                continue
+            size, left = size + room, left - room
+            bearing += room if run > 0 else 0
+    return out + [(size, bearing)] if size else out
+
+
+def run_pieces(sizes: DataFrame, key: str, limits: Limits) -> DataFrame:
+    """(key, piece_no, start_token, tokens, loss_tokens) of texts with their runs: loss-bearing tokens counted in each piece."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, runs in zip(b[key], b["runs"]):
+                start = 0
+                for n, (size, bearing) in enumerate(cut_runs([int(x) for x in runs], limits)):
+                    rows.append((k, n, start, size, bearing))
+                    start += size
+            yield from emit(pd.DataFrame(rows, columns=[key, "piece_no", "start_token", "tokens", "loss_tokens"]))
 
-    return spread(texts.select(key, "parts")).mapInPandas(run, f"{key} {kind}, tokens long, loss_tokens long")
+    return sizes.select(key, "runs").mapInPandas(run, f"{key} {sizes.schema[key].dataType.simpleString()}, piece_no long, start_token long, tokens long, loss_tokens long")
 
 
 def pieces(sizes: DataFrame, key: str, limits: Limits) -> DataFrame:
     """(key, piece_no, start_token, tokens, loss_tokens): texts, those longer than a window cut into windows and a rest.
 
-    The loss-bearing tokens of a cut text are spread over its pieces in proportion, rounded so that they add up; a text
-    whose loss-bearing tokens alone exceed their limit is cut so that each piece keeps both limits.
+    The loss-bearing tokens of a cut text are spread over its pieces in proportion, rounded so that they add up: exact where
+    all tokens bear loss or none; run_pieces() counts them for other texts. A text whose loss-bearing tokens alone exceed their limit is cut so that each piece keeps both limits.
     """
     share = F.ceil(F.greatest(F.col("tokens") / limits.tokens, F.col("loss_tokens") / limits.loss_tokens))
     by_loss = F.col("loss_tokens") / limits.loss_tokens > F.col("tokens") / limits.tokens
@@ -173,4 +214,4 @@ def pack_instructions(records: DataFrame, limits: Limits | None = None, tokenize
     from granary.llm.pair_defects import once
 
     limits = limits or Limits(2_048, 16, 1_280)
-    return packed(pieces(token_sizes(instruction_parts(once(records)), "id", tokenizer), "id", limits), "id", limits)
+    return packed(run_pieces(token_sizes(instruction_parts(once(records)), "id", tokenizer, True), "id", limits), "id", limits)

@@ -122,6 +122,24 @@ def test_defects_of_plain_cases(tagger):
     assert got == cases
 
 
+def test_pieces_hold_their_own_loss_tokens(spark):
+    limits = packing.Limits(2_048, 16, 1_280)
+    assert packing.cut_runs([-1_500, 1_500], limits) == [(2_048, 548), (952, 952)]
+    assert packing.cut_runs([3_000], limits) == [(1_280, 1_280), (1_280, 1_280), (440, 440)]
+    assert packing.cut_runs([-10, 1_280, -758], limits) == [(2_048, 1_280)] and packing.cut_runs([], limits) == []
+    said, told = " word" * 1_500, " word" * 1_500
+    rows = [("r", [{"role": "user", "content": said}, {"role": "assistant", "content": told}], None), ("n", None, None)]
+    found = packing.pack_instructions(spark.createDataFrame(rows, f"id string, messages {M}, ingested_at timestamp")).orderBy("piece_no").collect()
+    enc = packing.encoding()
+    u, a = len(enc.encode_ordinary(said)), len(enc.encode_ordinary(told))
+    want, start = [], 0
+    while start < u + a:
+        end = min(start + 2_048, u + a)
+        want.append((start, end - start, max(0, end - max(start, u))))
+        start = end
+    assert [(r["start_token"], r["tokens"], r["loss_tokens"]) for r in found] == want
+
+
 def test_a_frequent_wrong_language_stays_a_defect(spark, data):
     pairs = pair_defects.sample_pairs(spark.read.parquet(f"{data}/sft_records.parquet"))
     french = "L'infirmière a acheté un vélo rouge au marché parce que la pluie était forte. Le voisin a vendu la lampe."
