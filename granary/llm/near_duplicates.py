@@ -1,132 +1,57 @@
 """Problem 3: near-duplicate records with small edits, by token-combination prefixes.
 
-Tokens are put in one order, rarest first, and into classes: rare tokens index alone, the others by hash into CLASSES
-classes whose pairs of tokens are indexed (k = 2). Two sets of at least the sought similarity differ in so few tokens
-that, if each is cut to the shortest prefix in which sum(max(0, tokens of the class - (k - 1))) exceeds the tokens it may
-lack, they must share a token or a pair of one class within both prefixes. Records that share such a combination, and
-whose sizes and sketches allow the similarity, are verified word by word. Nothing is sampled and no posting is capped.
+Exact copies are one class, of which the smallest id is the representative. Representatives are indexed by the rare tokens
+and the pairs of frequent tokens of one class in their extended prefixes (granary.llm.prefixes); those that share one, at
+sizes for which it lies in both prefixes, and whose sketches allow the similarity, are verified word by word. Nothing is
+sampled and no posting is capped.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from granary.llm.similar import COUNT, RECORD, SIMILARITY, SKETCH, index_schema, may_be_similar, record_words, small_or_shuffled, verified
+from granary.llm.prefixes import INDEX, SKETCH, Order, WordHashes, buckets_of, index_batch, meeting_pairs, token_hashes
+from granary.llm.similar import RECORD, SIMILARITY, TOGETHER, record_words, small_or_shuffled, verified
 from granary.operators.components import connected_components
 from granary.session import written
 
-#: Classes of the tokens that are indexed by pairs.
-CLASSES = 60
-#: Tokens whose number is known when the order is made: the most frequent ones. A bound of the dictionary that every
-#: task holds, not of the index: all others come first in the order, by their hash, and index alone.
-DICTIONARY = 200_000
-#: Number of records up to which a token is rare and indexes alone.
-RARE = 5
-#: Tokens of a record up to which single tokens are indexed besides, so that short records need no combination.
-SHORT = 40
 #: Members of a class of exact copies up to which all pairs are written; beyond, each copy is linked to the smallest id.
 COPIES = 64
 
 
-def token_numbers(counts: DataFrame, most: int = DICTIONARY, rare: int = RARE) -> dict[str, int]:
-    """Records that hold each token (said, n by task), for the most frequent tokens above the rare ones."""
-    found = counts.groupBy("said").agg(F.sum("n").alias("n")).filter(F.col("n") > rare)
-    return {r[0]: r[1] for r in found.orderBy(F.desc("n"), "said").limit(most).collect()}
-
-
-class Order:
-    """The global order of tokens: unlisted ones first, by their hash, then the listed ones, rarest first."""
-
-    def __init__(self, numbers: dict[str, int], classes: int = CLASSES):
-        listed = sorted(numbers, key=lambda x: (numbers[x], x))
-        self.rank = {x: k for k, x in enumerate(listed)}
-        self.hash = np.array([xxhash.xxh3_64_intdigest(x) for x in listed], np.uint64)
-        self.classes = classes
-        self.of = (self.hash >> np.uint64(20)) % np.uint64(classes)
-
-    def signatures(self, sets: list[list[str]], t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-        """(set number, signature) of the combinations that each token set is indexed by, for many sets at once."""
-        size = np.array([len(s) for s in sets], np.int64)
-        lacking = size - np.ceil(t * size - 1e-9).astype(np.int64)
-        rank_of = self.rank.get
-        # the place in the order: listed tokens by rank, others below zero by their hash
-        place = np.fromiter((r if (r := rank_of(x)) is not None else -1 - (xxhash.xxh3_64_intdigest(x) >> 2) for s in sets for x in s), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.lexsort((place, owner))
-        place, owner = place[order], owner[order]
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        listed = place >= 0
-        hashes = np.where(listed, 0, (-1 - place) << 2).astype(np.uint64)
-        hashes[listed] = self.hash[place[listed]]
-        group = owner * self.classes
-        group[listed] += self.of[place[listed]].astype(np.int64)
-        # every token counts but the first of its class in its set: a class of pairs needs two to be met
-        counts = np.ones(len(place), np.int64)
-        at = np.flatnonzero(listed)
-        counts[at[np.unique(group[at], return_index=True)[1]]] = 0
-        before = np.cumsum(counts) - counts
-        before -= np.repeat(before[start[size > 0]], size[size > 0])
-        keep = before <= np.repeat(lacking, size)
-        sets_out, sigs = [owner[keep & ~listed]], [_mix(hashes[keep & ~listed], 1)]
-        # short sets are indexed by single tokens besides
-        short = (np.arange(len(place)) - np.repeat(start, size) <= np.repeat(lacking, size)) & np.repeat(size <= SHORT, size)
-        sets_out.append(owner[short])
-        sigs.append(_mix(hashes[short], 2))
-        at = np.flatnonzero(keep & listed)
-        at = at[np.argsort(group[at], kind="stable")]
-        _, first, many = np.unique(group[at], return_index=True, return_counts=True)
-        for m in np.unique(many[many > 1]):
-            rows = at[first[many == m][:, None] + np.arange(m)]
-            h = np.sort(hashes[rows], axis=1)
-            i, j = np.triu_indices(m, 1)
-            sigs.append(_mix(h[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ _mix(h[:, j], 3), 4).ravel())
-            sets_out.append(np.repeat(owner[rows[:, 0]], len(i)))
-        return np.concatenate(sets_out), np.concatenate(sigs).view(np.int64)
-
-
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)
-    return x ^ (x >> np.uint64(29))
-
-
-def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def class_table(records: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Members (id, rep, copies) of the classes of several copies, the representatives' word table, and token counts.
 
     The representative of a class is its smallest id.
     """
-    table = record_words(records, as_tokens=True)
+    table, counts = record_words(records)
     texts = table.filter(F.col("kind") == RECORD)
     groups = texts.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     # Only the classes of several copies need a join, and their keys alone; the others are their own representatives.
-    inside = written(texts.select("key", "rid", "h1", "h2").join(groups.filter("copies > 1"), ["h1", "h2"]).select(F.col("key").alias("id"), "rid", "rep", "copies"))
-    reps = texts.join(small_or_shuffled(inside.filter("id <> rep").select("rid")), "rid", "left_anti")
-    return inside.drop("rid"), reps, table.filter(F.col("kind") == COUNT).select("said", "n")
+    several = written(groups.filter("copies > 1"))
+    inside = written(texts.select("key", "rid", "h1", "h2").join(small_or_shuffled(several), ["h1", "h2"]).select(F.col("key").alias("id"), "rid", "rep", "copies"))
+    reps = texts.join(small_or_shuffled(written(inside.filter("id <> rep").select("rid"))), "rid", "left_anti")
+    return inside.drop("rid"), reps, counts
 
 
-def candidate_pairs(reps: DataFrame, counts: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b): rids of representatives that share a combination and may be similar."""
-    held = reps.sparkSession.sparkContext.broadcast(Order(token_numbers(counts)))
+def prefix_index(texts: DataFrame, order: Order, t: float = SIMILARITY) -> DataFrame:
+    """The index (bucket, rows) of the texts of a word table."""
+    held, buckets = texts.sparkSession.sparkContext.broadcast(order), buckets_of(texts)
 
     def run(batches):
-        order = held.value
-        for b in batches:
-            for part in (b.slice(k, 2_000) for k in range(0, b.num_rows, 2_000)):
-                owner, sigs = order.signatures([s.split("\n") for s in part.column("said").to_pylist()], t)
-                by = np.argsort(owner, kind="stable")
-                take = pa.array(owner[by])
-                columns = [pa.array(sigs[by]), part.column("rid").take(take), part.column("n").take(take), *[part.column(s).take(take) for s in SKETCH]]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    schema = index_schema(("sig", T.LongType()), ("rid", T.LongType()))
-    index = reps.select("rid", "said", "n", *SKETCH).mapInArrow(run, schema)
-    a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.rid") < F.col("b.rid")) & may_be_similar("a", "b", t))
-    return written(met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct())
+        order, hashes = held.value, WordHashes()
+        for b in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
+            h, size = token_hashes([said.split("\n") for said in b.column("said").to_pylist()], hashes)
+            yield index_batch(b, *order.rows(h, size, t), np.zeros(b.num_rows, np.int64), t, buckets)
+
+    return texts.select("rid", "said", "n", *SKETCH).mapInArrow(run, INDEX)
+
+
+def candidate_pairs(reps: DataFrame, counts: np.ndarray, t: float = SIMILARITY) -> DataFrame:
+    """(a, b): rids of representatives that share a combination and may be similar."""
+    return written(meeting_pairs(prefix_index(reps, Order(counts), t), t).distinct())
 
 
 def class_links(records: DataFrame, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,78 +1,30 @@
 """Words, sketches and exact similarity of records, shared by the near-duplicate and the cross-split operators.
 
 The similarity of two texts is shared words / all words, both counted with repetition. With the n-th occurrence of a
-word as its own token, it is the Jaccard similarity of two sets. A sketch of 512 parity bits never differs in more bits
-than the two sets differ in tokens, so it can rule a pair out and never loses one.
+word as its own token, it is the Jaccard similarity of two sets.
 """
 
 from __future__ import annotations
 
-import struct
 from collections import Counter
 from collections.abc import Callable
-from functools import reduce
-from operator import add, xor
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary.functions.frames import emit
 from granary.functions.words import words
+from granary.llm.prefixes import BUCKETS, LONGS, SKETCH, WordHashes, bucket_of, sketches, token_hashes
 from granary.session import enough_tasks, written
 
 #: Similarity from which two records are near-duplicates (given by the data's statement of the problem).
 SIMILARITY = 0.7
 ROLES = ("user", "assistant")
-#: Longs of a sketch. Few bits rule nothing out where the sets are large: 128 bits are full at some 200 tokens.
-LONGS = 8
-SKETCH = [f"s{k}" for k in range(1, LONGS + 1)]
-#: Sizes above which a sketch holds 256 and 512 bits: enough for sets of that size, and fewer bytes to move below.
-WIDE, WIDEST = 90, 250
-
-
-def tokens(ws: list[str]) -> list[str]:
-    """The words as a set: a repeated word carries the number of its occurrence."""
-    if len(set(ws)) == len(ws):
-        return ws
-    seen: dict[str, int] = {}
-    out = []
-    for w in ws:
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        out.append(f"{w} {n}" if n else w)
-    return out
-
-
-class TokenBits(dict):
-    """The parity bit of each token, and above the sketch a hash of 128 bits; kept for tokens met before, up to a bound."""
-
-    most = 300_000
-
-    def __missing__(self, token: str) -> int:
-        h = xxhash.xxh3_128_intdigest(token)
-        bits = 1 << (h % (64 * LONGS)) | h << (64 * LONGS)
-        if len(self) < self.most:
-            self[token] = bits
-        return bits
-
-
-def marks(ts: list[str], bits: TokenBits) -> tuple[list[int], int, int]:
-    """The sketch of a token set as signed longs, and two longs that tell the set.
-
-    The first two longs are the 512 bits folded to 128, the next two what 256 bits need besides, the last four what 512
-    need besides; sets of up to WIDE and WIDEST tokens have zeros there. All is linear: the exclusive or of two sketches
-    is the sketch of what they differ in.
-    """
-    x = reduce(xor, map(bits.__getitem__, ts), 0)
-    *s, h1, h2 = struct.unpack(f"<{LONGS + 2}q", x.to_bytes(8 * LONGS + 16, "little"))
-    g = [s[k] ^ s[k + 4] for k in range(4)]
-    wide = g[2:] if len(ts) > WIDE else [0, 0]
-    widest = s[4:] if len(ts) > WIDEST else [0, 0, 0, 0]
-    return [g[0] ^ g[2], g[1] ^ g[3], *wide, *widest], h1, h2
+#: Texts that are hashed together.
+TOGETHER = 2_000
 
 
 def similarity(a: list[str], b: list[str]) -> float:
@@ -84,72 +36,77 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 _TABLE = "key string, kind int, said string, n int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
-_ARROW = [("key", pa.string()), ("kind", pa.int32()), ("said", pa.string()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *[(s, pa.int64()) for s in SKETCH]]
 RECORD, MESSAGE, COUNT = 0, 1, 2
+_NAMES = ["key", "kind", "said", "n", "h1", "h2", *SKETCH]
 
 
-def _word_rows(rows: DataFrame, extra: list[str], messages_of: str | None = None, as_tokens: bool = False) -> DataFrame:
+def _word_rows(rows: DataFrame, extra: list[str], messages_of: str | None = None) -> DataFrame:
     """For each row (key, roles, contents, extra) the words of its user and assistant messages, kind RECORD.
 
-    Where the column messages_of is true, each user message is a text of its own besides, kind MESSAGE. With as_tokens,
-    said holds the tokens instead of the words, and each task adds what it counted of each token (said, n), kind COUNT.
-    Words and tokens are parted by line ends.
+    Where the column messages_of is true, each user message is a text of its own besides, kind MESSAGE. Words are parted
+    by line ends. Each task adds what it counted of the tokens of records by bucket (h1 the bucket, h2 the count), kind
+    COUNT: at most BUCKETS rows.
     """
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches):
-        bits, counts = TokenBits(), Counter()
+        hashes, counts, types = WordHashes(), np.zeros(BUCKETS, np.int64), None
+
+        def made(keys, kind, texts, at, batch):
+            h, size = token_hashes(texts, hashes)
+            s, h1, h2 = sketches(h, size)
+            kind = np.array(kind, np.int32)
+            counts[:] += np.bincount(bucket_of(h[np.repeat(kind == RECORD, size)]), minlength=BUCKETS)
+            own = [pa.array(keys, pa.string()), pa.array(kind), pa.array(["\n".join(ws) for ws in texts], pa.string()), pa.array(size, pa.int32()), pa.array(h1), pa.array(h2), *[pa.array(s[:, k]) for k in range(LONGS)]]
+            take = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays(own + [batch.column(c).take(take) for c in extra], names=_NAMES + extra)
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in extra]
+            for b in (batch.slice(k, TOGETHER) for k in range(0, batch.num_rows, TOGETHER)):
+                keys, kind, texts, at = [], [], [], []
+                own = b.column(messages_of).to_pylist() if messages_of else None
+                for n, (key, roles, contents) in enumerate(zip(b.column("key").to_pylist(), b.column("roles").to_pylist(), b.column("contents").to_pylist())):
+                    every: list[str] = []
+                    for role, c in zip(roles or (), contents or ()):
+                        if role in ROLES and c and (ws := words(c)):
+                            every += ws
+                            if own and own[n] and role == "user":
+                                keys.append(key)
+                                kind.append(MESSAGE)
+                                texts.append(ws)
+                                at.append(n)
+                    if every:
+                        keys.append(key)
+                        kind.append(RECORD)
+                        texts.append(every)
+                        at.append(n)
+                if texts:
+                    yield made(keys, kind, texts, at, b)
+        held = np.flatnonzero(counts)
+        if len(held):
+            k = len(held)
+            zeros = pa.array(np.zeros(k, np.int64))
+            own = [pa.nulls(k, pa.string()), pa.array(np.full(k, COUNT, np.int32)), pa.nulls(k, pa.string()), pa.array(np.zeros(k, np.int32)), pa.array(held), pa.array(counts[held]), *[zeros] * LONGS]
+            yield pa.RecordBatch.from_arrays(own + [pa.nulls(k, x) for x in types], names=_NAMES + extra)
 
-        def rows_of(out, at, columns):
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, _ARROW)] + columns, names=[c for c, _ in _ARROW] + extra)
+    return rows.mapInArrow(run, _TABLE + kinds)
 
-        def counted(nothing):
-            k = len(counts)
-            out = [[None] * k, [COUNT] * k, list(counts), list(counts.values()), [0] * k, [0] * k, *[[0] * k] * LONGS]
-            counts.clear()
-            return rows_of(out, None, [pa.nulls(k, t) for t in nothing])
 
-        types: list = []
-        for b in batches:
-            out: list[list] = [[] for _ in _ARROW]
-            at: list[int] = []
-            types = [b.schema.field(c).type for c in extra]
-            own = b.column(messages_of).to_pylist() if messages_of else None
-
-            def add(n, key, kind, ws):
-                ts = tokens(ws)
-                sketch, h1, h2 = marks(ts, bits)
-                at.append(n)
-                for column, v in zip(out, (key, kind, "\n".join(ts if as_tokens else ws), len(ws), h1, h2, *sketch)):
-                    column.append(v)
-                if as_tokens:
-                    counts.update(ts)
-
-            for n, (key, roles, contents) in enumerate(zip(b.column("key").to_pylist(), b.column("roles").to_pylist(), b.column("contents").to_pylist())):
-                every: list[str] = []
-                for role, c in zip(roles or (), contents or ()):
-                    if role in ROLES and c and (ws := words(c)):
-                        every += ws
-                        if own and own[n] and role == "user":
-                            add(n, key, MESSAGE, ws)
-                if every:
-                    add(n, key, RECORD, every)
-            if at:
-                take = pa.array(at, pa.int64())
-                yield rows_of(out, at, [b.column(c).take(take) for c in extra])
-            if len(counts) > 500_000:
-                yield counted(types)
-        if counts:
-            yield counted(types)
+def bucket_counts(table: DataFrame) -> np.ndarray:
+    """Tokens of each bucket over all records of a word table: BUCKETS numbers, whatever the size of the table."""
+    found = table.filter(F.col("kind") == COUNT).groupBy("h1").agg(F.sum("h2").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column("h1").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
-    return rows.mapInArrow(run, _TABLE + kinds)
 
+def record_words(records: DataFrame, extra: dict[str, Column] | None = None, messages_of: Column | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The word table of a record table, one delivery of each id, and the counts of its tokens by bucket.
 
-def record_words(records: DataFrame, extra: dict[str, Column] | None = None, messages_of: Column | None = None, as_tokens: bool = False) -> DataFrame:
-    """The word table of a record table, one delivery of each id: rid (unique), the columns of _word_rows, and extra.
-
-    Words are made before anything is shuffled; deliveries are told apart by their keys alone, and only the few rows of
-    later deliveries are taken out by a join. Texts without words are left out: nothing is similar to them.
+    The table has rid (unique), the columns of _word_rows, and extra. Words are made before anything is shuffled;
+    deliveries are told apart by their keys alone, and only the few rows of later deliveries are taken out by a join.
+    Texts without words are left out: nothing is similar to them.
     """
     extra = extra or {}
     rows = records.filter(F.col("id").isNotNull()).select(
@@ -161,12 +118,13 @@ def record_words(records: DataFrame, extra: dict[str, Column] | None = None, mes
         *([messages_of.alias("own")] if messages_of is not None else []),
     )
     rows = enough_tasks(rows).withColumn("uid", F.monotonically_increasing_id())
-    made = _word_rows(rows, ["uid", "at", *extra], "own" if messages_of is not None else None, as_tokens)
+    made = _word_rows(rows, ["uid", "at", *extra], "own" if messages_of is not None else None)
     table = written(made.withColumn("rid", F.monotonically_increasing_id()))
     one = table.filter(F.col("kind") == RECORD).select("key", "uid", "at")
     first = one.groupBy("key").agg(F.min_by("uid", F.struct(F.col("at").isNull(), "at", "uid")).alias("uid"), F.count("*").alias("c"))
     again = one.join(first.filter("c > 1").select("key", F.col("uid").alias("first")), "key").filter("uid <> first").select("uid")
-    return table.join(small_or_shuffled(written(again)), "uid", "left_anti").drop("uid", "at")
+    once = table.filter(F.col("kind") != COUNT).join(small_or_shuffled(written(again)), "uid", "left_anti").drop("uid", "at")
+    return once, bucket_counts(table)
 
 
 #: Rows of a written key table up to which it is broadcast.
@@ -180,29 +138,8 @@ def small_or_shuffled(keys: DataFrame) -> DataFrame:
 
 def plain_words(rows: DataFrame, extra: list[str]) -> DataFrame:
     """The word table of rows (key, roles, contents, extra) as they are; its rids are negative."""
-    return written(_word_rows(rows, extra).withColumn("rid", F.lit(-1) - F.monotonically_increasing_id()))
-
-
-def index_schema(*columns: tuple[str, T.DataType]) -> T.StructType:
-    """Schema of index rows: the given columns, n and the sketch, none of them null, so that no comparison looks for nulls."""
-    longs = [(s, T.LongType()) for s in SKETCH]
-    return T.StructType([T.StructField(c, kind, False) for c, kind in (*columns, ("n", T.IntegerType()), *longs)])
-
-
-def may_be_similar(a: str, b: str, t: float = SIMILARITY) -> Column:
-    """Whether sizes and sketches of two aliased index tables allow a similarity of t; never false for such a pair.
-
-    The sketches are compared in as many bits as both have, first in 128.
-    """
-    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = (n1 + n2) * F.lit((1 - t) / (1 + t) + 1e-9)
-    d = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in SKETCH]
-    wide = [d[0].bitwiseXOR(d[2]), d[1].bitwiseXOR(d[3]), d[2], d[3]]
-    widest = [x.bitwiseXOR(y) for x, y in zip(wide, d[4:])] + d[4:]
-    close = lambda longs: reduce(add, [F.bit_count(x) for x in longs]) <= most
-    least = F.least(n1, n2)
-    sizes = (n1 >= n2 * F.lit(t - 1e-9)) & (n2 >= n1 * F.lit(t - 1e-9))
-    return sizes & close(d[:2]) & ((least <= WIDE) | close(wide)) & ((least <= WIDEST) | close(widest))
+    made = written(_word_rows(rows, extra).withColumn("rid", F.lit(-1) - F.monotonically_increasing_id()))
+    return made.filter(F.col("kind") != COUNT)
 
 
 def met_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
