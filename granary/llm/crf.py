@@ -70,46 +70,47 @@ class Crf:
 
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best label sequence under the scores of each position."""
-        rows = s.tolist()
-        into = self.t.T.tolist()
-        labels = range(len(self.labels))
-        best, back = rows[0], []
-        for row in rows[1:]:
-            came, now = [], []
-            for k in labels:
-                reach = [x + y for x, y in zip(best, into[k])]
-                top = max(reach)
-                came.append(reach.index(top))
-                now.append(top + row[k])
-            back.append(came)
-            best = now
-        out = [best.index(max(best))]
-        for came in reversed(back):
-            out.append(came[out[-1]])
-        return out[::-1]
+        return self.decode(s, np.array([len(s)]))[0].tolist()
+
+    def decode(self, scores: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The best label sequence of each of many sequences, whose scores follow one another; those of one length together."""
+        starts = np.cumsum(sizes) - sizes
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            mine = np.flatnonzero(sizes == n)
+            rows = scores[starts[mine][:, None] + np.arange(n)]
+            best, back = rows[:, 0], []
+            for j in range(1, n):
+                reach = best[:, :, None] + self.t
+                came = reach.argmax(axis=1)
+                best = np.take_along_axis(reach, came[:, None, :], axis=1)[:, 0] + rows[:, j]
+                back.append(came)
+            tags = np.empty((len(mine), n), np.int64)
+            tags[:, -1] = best.argmax(axis=1)
+            for j in range(n - 1, 0, -1):
+                tags[:, j - 1] = back[j - 1][np.arange(len(mine)), tags[:, j]]
+            for k, t in zip(mine.tolist(), tags):
+                out[k] = t
+        return out
 
     def tag(self, sequence: list[list[str]]) -> list[str]:
         return self.tag_all([sequence])[0]
 
     def tag_all(self, sequences: list[list[list[str]]]) -> list[list[str]]:
         """The labels of each sequence; the scores of all positions are found together."""
-        index, sizes, ids = self.index.get, [], []
-        for sequence in sequences:
-            for feats in sequence:
-                had = len(ids)
-                ids += [k for f in feats if (k := index(f)) is not None]
-                sizes.append(len(ids) - had)
-        if not sizes:
-            return [[] for _ in sequences]
-        total = np.vstack([np.cumsum(self.w[np.array(ids, int)], axis=0), np.zeros((1, len(self.labels)))])
-        ends = np.cumsum(sizes)
-        scores = total[ends - 1] - total[ends - np.array(sizes) - 1]
-        out, at = [], 0
-        for sequence in sequences:
-            n = len(sequence)
-            out.append([self.labels[k] for k in self.viterbi(scores[at : at + n])] if n else [])
-            at += n
-        return out
+        index = self.index.get
+        ids = [[k for f in feats if (k := index(f)) is not None] for sequence in sequences for feats in sequence]
+        return self.tag_ids(ids, [len(sequence) for sequence in sequences])
+
+    def tag_ids(self, ids: list[list[int]], sizes: list[int]) -> list[list[str]]:
+        """The labels of each sequence of the given size, from the numbers of the features of each position."""
+        if not ids:
+            return [[] for _ in sizes]
+        many = np.array([len(x) for x in ids])
+        flat = np.fromiter((k for x in ids for k in x), np.int64, int(many.sum()))
+        total = np.vstack([np.zeros((1, len(self.labels))), np.cumsum(self.w[flat], axis=0)])
+        ends = np.cumsum(many)
+        return [[self.labels[k] for k in t] for t in self.decode(total[ends] - total[ends - many], np.array(sizes))]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:

@@ -99,7 +99,7 @@ def _fit(labelled: list[tuple[str, str]], max_bytes: int) -> PpmModels:
 
 def sample_texts(table: DataFrame, messages: str = "messages", n: int = SAMPLE_TEXTS) -> list[str]:
     """At most n message texts of a table, by a hash of their content, so that the same table gives the same sample."""
-    texts = table.select(F.explode(messages).alias("m")).select(F.substring("m.content", 1, 4000).alias("t")).filter(F.length("t") > 0)
+    texts = table.select(F.explode(messages).alias("m")).select(F.col("m.content").alias("t")).filter(F.length("t") > 0)
     return [r[0] for r in bounded_sample(texts, table.count(), n)]
 
 

@@ -39,27 +39,27 @@ PLACEHOLDERS = (
 #: Labels that may lead a text and say nothing.
 LABELS = frozenset("q a question answer response prompt user assistant ikibazo igisubizo swali jibu réponse réponds instruction input output you asked asked".split())
 
-# Phrases that refusals are put together from, by language: openings, cores, reasons and what follows.
+# Phrases that refusals are put together from, by language: openings, cores and what follows.
 REFUSALS = {
     "en": (
-        ["", "", "", "I'm sorry, but", "Sorry,", "I apologise;", "I apologize, but", "Unfortunately,", "As a language model,", "As an AI,", "Thank you for asking, but", "Regrettably,", "I am afraid"],
-        ["I can't help with {}.", "I cannot help with {}.", "I am not able to answer questions about {}.", "I must decline to discuss {}.", "I won't be able to provide {}.", "there is nothing I can say about {}.", "this request about {} is outside what I am allowed to do.", "I am unable to assist with {}.", "I will not answer {}.", "I'm not allowed to answer {}.", "I can't answer this question.", "I do not have permission to talk about {}.", "I refuse to answer {}.", "I can't comply with this request."],
-        ["", "", "My guidelines do not permit it.", "Please ask a teacher in {}.", "You could contact {} instead.", "Is there anything else you need?", "Please try a different question.", "Perhaps someone else can help you.", "It is against my rules.", "Let me know if you need something else.", "I hope you understand."],
+        ["", "", "", "I'm sorry, but", "Sorry,", "My apologies,", "I apologize,", "Unfortunately,", "Regrettably,", "I'm afraid that", "As an assistant,", "Being a language model,", "Thanks for the question, but", "I regret it, but"],
+        ["I cannot assist you with {}.", "I can't answer that.", "I can't help you here.", "I'm unable to help.", "I am not able to do this.", "I will not be able to give you {}.", "I have to decline.", "I am not able to answer.", "I must decline this one.", "I decline to talk about {}.", "I refuse to answer.", "I won't answer anything about {}.", "I won't provide that.", "I'm not allowed to say anything on {}.", "I am not allowed to help with it.", "there is nothing that I can say.", "I have nothing to say about {}.", "your request goes beyond what I am permitted to do.", "such a request is outside what I can do.", "that is outside my permissions.", "I cannot comply.", "I am not able to respond to questions on {}.", "answering questions like this is not permitted.", "I can't discuss it at all.", "I must say no to {}."],
+        ["", "", "My rules forbid it.", "It is against my guidelines.", "Try another question.", "Ask someone who knows {}.", "A teacher could help you better.", "Do you need anything else?", "Contact {} about it.", "Perhaps someone else can help you.", "I hope you understand.", "Please talk to another teacher, {}.", "You can ask {} instead.", "You could try {} or another person.", "Please consult {}.", "Please ask a colleague of {}.", "Please ask another teacher.", "Can I do anything else for you?"],
     ),
     "fr": (
-        ["", "", "Désolé,", "Malheureusement,", "Je suis désolé, mais", "Pardon,", "Je regrette,", "Je regrette, mais", "Navré,", "Désolé, mais", "Merci de votre question, mais", "En tant que modèle de langue,"],
-        ["je ne peux pas vous aider au sujet de {}.", "il m'est impossible de répondre à propos de {}.", "je ne suis pas autorisé à parler de {}.", "je refuse de répondre à cette question.", "je ne peux pas répondre à cette question.", "je dois refuser de parler de {}.", "je ne suis pas en mesure de fournir {}.", "cette demande dépasse ce qui m'est permis."],
-        ["", "", "Demandez plutôt à {}.", "Vous pouvez contacter {}.", "Puis-je vous aider autrement ?", "Mes règles ne le permettent pas.", "Adressez-vous à un enseignant de {}.", "Avez-vous une autre question ?"],
+        ["", "", "Pardon,", "Je suis navré, mais", "Malheureusement,", "Je suis désolé,", "Désolée, mais", "Je le regrette,", "Hélas,", "Merci pour la question, mais"],
+        ["je ne peux pas répondre.", "je ne peux rien dire sur {}.", "je ne peux pas vous aider.", "il m'est impossible de vous aider.", "il est impossible pour moi de parler de {}.", "je refuse de répondre.", "je ne suis pas autorisé à répondre à cela.", "je ne suis pas en mesure de le faire.", "je dois décliner cette demande.", "cela dépasse ce qui m'est permis.", "je ne saurais vous donner {}."],
+        ["", "", "Demandez à quelqu'un d'autre.", "Un enseignant saura mieux.", "Avez-vous une autre question ?", "Mes règles l'interdisent.", "Contactez {}.", "Parlez-en plutôt à {}.", "Vous pouvez consulter {}.", "Voyez un autre enseignant, {}.", "Puis-je faire autre chose ?"],
     ),
     "rw": (
-        ["", "", "", "Mumbabarire,", "Ihangane,", "Mbabarira,", "Birababaje,", "Birababaje, ariko", "Mbabarira, ariko", "Ikibabaje,", "Urakoze kubaza, ariko", "Ndababaye, ariko", "Ntibishoboka,", "Nk'ikoranabuhanga,", "Munyihanganire,"],
-        ["sinshobora kugufasha ku byerekeye {}.", "nanze gusubiza iki kibazo kuri {}.", "ntabwo nemerewe gusubiza ibibazo kuri {}.", "sinemerewe kuvuga kuri {}.", "sinshobora gusubiza iki kibazo.", "ntacyo nshobora kuvuga kuri {}.", "ntabwo nshobora gutanga {}.", "ngomba kwanga kuvuga kuri {}.", "singusubiza kuri {}.", "ibyo kuri {} simbishoboye.", "ibya {} simbishoboye.", "ibyo simbishoboye.", "ntabwo mbishoboye.", "sinabasha kugufasha kuri {}.", "icyo kibazo sinagisubiza.", "sinemerewe gusubiza ibya {}.", "ntabwo nagufasha kuri {}."],
-        ["", "", "Baza umwarimu w'i {}.", "Wabaza {}.", "Hari ikindi nagufasha?", "Amategeko yanjye ntabyemera.", "Gerageza ikindi kibazo.", "Mubaze {} mu mwanya wanjye."],
+        ["", "", "", "Mbabarira,", "Mbabarira, ariko", "Munyihanganire,", "Ihangane cyane,", "Mumbabarire cyane,", "Ikibabaje,", "Birababaje kuko", "Ndababaye, ariko", "Ntibishoboka,", "Urakoze, ariko"],
+        ["sinshobora kubigufashamo.", "sinshobora kuvuga ibya {}.", "sinshobora kugufasha.", "ndanze gusubiza.", "nanze kuvuga kuri {}.", "nanze icyo kibazo.", "ntabwo nemerewe kubivugaho.", "ntabwo nemerewe gusubiza.", "sinemerewe kuvuga kuri {}.", "ibi simbishoboye.", "ibya {} simbishoboye.", "kuri {} ibyo simbishoboye.", "ibyo byose simbishoboye.", "ntabwo mbishoboye.", "ntabwo nabigufashamo.", "ntacyo navuga kuri {}.", "singusubiza.", "icyo kibazo sinagisubiza.", "ngomba kubyanga.", "ibibazo nk'ibi simbisubiza."],
+        ["", "", "Baza abandi.", "Baza umwarimu.", "Amategeko ntabyemera.", "Gerageza ikindi kibazo.", "Wabaza undi muntu.", "Hari ikindi ushaka?", "Wabaza {} cyangwa abandi.", "Wabaza mugenzi wawe {}.", "Baza umwarimu witwa {}.", "Umwarimu w'ishuri wamubaza.", "Baza {} na we.", "Shaka {} agufashe.", "Hari ikindi nakora?"],
     ),
     "sw": (
-        ["", "", "Samahani,", "Pole,", "Samahani, lakini", "Nasikitika,", "Kwa bahati mbaya,", "Asante kwa swali, lakini", "Naomba radhi,", "Kama modeli ya lugha,"],
-        ["siwezi kukusaidia kuhusu {}.", "siwezi kujibu swali hili.", "siruhusiwi kuzungumza kuhusu {}.", "nakataa kujibu swali kuhusu {}.", "sina ruhusa ya kutoa {}.", "hakuna ninachoweza kusema kuhusu {}.", "ombi hili liko nje ya uwezo wangu.", "sitaweza kutoa {}.", "hilo kuhusu {} siliwezi.", "lazima nikatae kuzungumzia {}.", "sitaweza kukusaidia kuhusu {}."],
-        ["", "", "Tafadhali muulize mwalimu wa {}.", "Unaweza kuwasiliana na {}.", "Je, kuna kingine unachohitaji?", "Kanuni zangu haziruhusu.", "Jaribu swali lingine."],
+        ["", "", "Nisamehe,", "Samahani sana,", "Pole sana,", "Nasikitika,", "Kwa bahati mbaya,", "Naomba radhi,", "Asante, lakini"],
+        ["siwezi kujibu.", "siwezi kusaidia katika hili.", "siwezi kukusaidia.", "siruhusiwi kusema lolote kuhusu {}.", "nakataa kujibu.", "lazima nikatae ombi hili.", "sina ruhusa ya kuzungumza juu ya {}.", "hilo siliwezi.", "sitaweza kutoa msaada.", "sitajibu swali hilo.", "hakuna la kusema kuhusu {}."],
+        ["", "", "Muulize mtu mwingine.", "Mwalimu anaweza kusaidia.", "Kanuni haziruhusu.", "Uliza swali lingine.", "Una swali lingine?", "Mwulize {} badala yangu.", "Zungumza na mwalimu mwingine, {}.", "Unaweza kumtafuta {}."],
     ),
 }
 #: How a question may name a language that it asks for. To write an exchange between people is an exercise
@@ -73,9 +73,13 @@ _ENTRY = re.compile(r"\s*\S?[\w' ]{1,30}\S?\s[-–—]\s\w")
 _ITEM = re.compile(r"\s*(?:[-–—*•·]|\(?\d{1,3}\s?[.);:])\s")
 
 
+#: More letters or digits than any placeholder has.
+_LONG = re.compile(rf"(?:[\W_]*[^\W_]){{{max(map(len, PLACEHOLDERS)) + 1}}}")
+
+
 def is_empty(answer: str | None) -> bool:
     """Null, or only blanks, marks or a placeholder."""
-    return answer is None or (said := _PLAIN.sub("", answer).casefold()) == "" or said in PLACEHOLDERS
+    return answer is None or not _LONG.match(answer) and ((said := _PLAIN.sub("", answer).casefold()) == "" or said in PLACEHOLDERS)
 
 
 def clauses(text: str) -> list[str]:
@@ -153,49 +157,73 @@ class PairTagger:
     def __init__(self, models: PpmModels, ends: EndModel, cues: frozenset):
         self.models, self.ends, self.cues = models, ends, cues
         self.crf: Crf | None = None
+        self._cue_numbers: dict | None = None
+        self._key_numbers: dict = {}
 
     def allowed(self, question: str, langs: list[str]) -> frozenset:
         """Languages that an answer may have: those the question uses, langs of its own and cited pieces, or asks for."""
         low = question.casefold()
         return frozenset(langs) | {k for k, r in ASKED.items() if r.search(low)}
 
-    def features(self, question: str, parts: list[str], bare_parts: list[str], langs: list[str], margins: list[float], allowed: frozenset) -> list[list[str]]:
-        asked = set(words(question)) | LABELS
+    def features(self, question: str, parts: list[str], bare_parts: list[str], langs: list[str], margins: list[float], allowed: frozenset) -> list[tuple]:
+        """For each clause what it is like, as a key of few different values, and the cues that it holds."""
+        asked = LABELS.union(words(question))
         said = [words(p) for p in parts]
         known = [sum(map(asked.__contains__, ws)) for ws in said]
         whole = _share(sum(known), sum(map(len, said)))
-        last = len(parts) - 1
-        size = f"parts:{min(len(parts), 3)}"
+        last, size = len(parts) - 1, min(len(parts), 3)
         out = []
-        for j, (part, ws) in enumerate(zip(parts, said)):
-            cites = bare_parts[j] is not part
-            bare = words(bare_parts[j]) if cites else ws
-            inside = _share(known[j], len(ws))
-            f = ["bias", f"in:{inside}", f"whole:{whole}", "first" if j == 0 else "later", size, f"in+whole:in:{inside}:{whole}"]
-            if met := self.cues.intersection(bare):
-                f += [f"w:{w}" for w in met]
-                if len(met) > 1:
-                    f += [f"b:{a} {b}" for a, b in self.cues.intersection(zip(bare, bare[1:]))]
-            if cites and len(bare) < 0.6 * len(ws):
-                f.append("mostly cited")
-            m = margins[j]
-            f.append(f"foreign:{langs[j] not in allowed}:{'sure' if m > 0.5 else 'near' if m > 0.2 else 'no'}")
-            if j == last:
-                end = part.rstrip()
-                bare_end = end.rstrip("`\"'”’»)]*_")
-                mark = bare_end[-1:] or end[-1:]
-                shape = "stop" if mark in ".!?።।" and not bare_end.endswith("..") else "dots" if mark in "…." else "break" if mark in ",;:-–—(/" else "word"
-                odd = end.count("`") % 2 == 1 or end.count("(") > end.count(")") or end.count("“") > end.count("”") or end.count("«") > end.count("»") or end.count('"') % 2 == 1
-                f += [f"shape:{shape}", f"odd:{odd}", f"item:{bool(_ITEM.match(part))}:{shape}"]
-                if shape != "stop":
-                    about = self.ends.features(part)
-                    f += about + [f"{shape}+{odd}+{x}" for x in about]
-                    if _ENTRY.match(part):
-                        f.append("entry")
-            out.append(f)
+        for j, (part, ws, bare_part, m) in enumerate(zip(parts, said, bare_parts, margins)):
+            cites = bare_part is not part
+            bare = words(bare_part) if cites else ws
+            met = self.cues.intersection(bare)
+            if len(met) > 1:
+                met = met | self.cues.intersection(zip(bare, bare[1:]))
+            key = (_share(known[j], len(ws)), whole, j == 0, size, cites and len(bare) < 0.6 * len(ws), langs[j] not in allowed, "sure" if m > 0.5 else "near" if m > 0.2 else "no")
+            out.append((key + self._ending(part) if j == last else key, met))
+        return out
+
+    def _ending(self, part: str) -> tuple:
+        end = part.rstrip()
+        bare_end = end.rstrip("`\"'”’»)]*_")
+        mark = bare_end[-1:] or end[-1:]
+        shape = "stop" if mark in ".!?።।" and not bare_end.endswith("..") else "dots" if mark in "…." else "break" if mark in ",;:-–—(/" else "word"
+        odd = end.count("`") % 2 == 1 or end.count("(") > end.count(")") or end.count("“") > end.count("”") or end.count("«") > end.count("»") or end.count('"') % 2 == 1
+        about = () if shape == "stop" else tuple(self.ends.features(part)) + (("entry",) if _ENTRY.match(part) else ())
+        return (shape, odd, bool(_ITEM.match(part)), about)
+
+    @staticmethod
+    def named(key: tuple) -> list[str]:
+        """The features of a key of features(), by name."""
+        inside, whole, first, size, cited_most, foreign, sure = key[:7]
+        f = ["bias", f"in:{inside}", f"whole:{whole}", "first" if first else "later", f"parts:{size}", f"in+whole:in:{inside}:{whole}", f"foreign:{foreign}:{sure}"]
+        if cited_most:
+            f.append("mostly cited")
+        if len(key) > 7:
+            shape, odd, item, about = key[7:]
+            f += [f"shape:{shape}", f"odd:{odd}", f"item:{item}:{shape}", *about, *[f"{shape}+{odd}+{x}" for x in about if x != "entry"]]
+        return f
+
+    def strings(self, sequence: list[tuple]) -> list[list[str]]:
+        """The features of a sequence as strings, as the field is trained on them."""
+        return [self.named(key) + [f"w:{w}" if isinstance(w, str) else f"b:{w[0]} {w[1]}" for w in sorted(met, key=str)] for key, met in sequence]
+
+    def _numbers(self, sequences: list[list[tuple]]) -> list[list[int]]:
+        """The numbers of the features of each clause; those of a key are looked up once."""
+        index = self.crf.index
+        if self._cue_numbers is None:
+            names = {w: f"w:{w}" if isinstance(w, str) else f"b:{w[0]} {w[1]}" for w in self.cues}
+            self._cue_numbers, self._key_numbers = {w: index[f] for w, f in names.items() if f in index}, {}
+        cue, keys, out = self._cue_numbers.get, self._key_numbers, []
+        for sequence in sequences:
+            for key, met in sequence:
+                ids = keys.get(key)
+                if ids is None:
+                    ids = keys[key] = [index[f] for f in self.named(key) if f in index]
+                out.append(ids + [k for w in met if (k := cue(w)) is not None] if met else ids)
         return out
 
-    def feature_rows(self, rows: list[tuple[str, list[str]]]) -> list[list[list[str]]]:
+    def feature_rows(self, rows: list[tuple[str, list[str]]]) -> list[list[tuple]]:
         """Features of the clauses of each (question, clauses); the languages of all are found together.
 
         A question's language is looked for only where some clause has a language that the question does not name.
@@ -214,7 +242,7 @@ class PairTagger:
         """Clauses and tags of the answer of each (question, answer)."""
         every = [clauses(a) for _, a in pairs]
         feats = self.feature_rows([(q, parts) for (q, _), parts in zip(pairs, every)])
-        return list(zip(every, self.crf.tag_all(feats)))
+        return list(zip(every, self.crf.tag_ids(self._numbers(feats), [len(x) for x in feats])))
 
     def _languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
         coded = [folded(t) for t in texts]
@@ -234,18 +262,19 @@ def _share(part: int, whole: int) -> str:
 
 
 def _covered(parts: list[str], tags: list[str]) -> Counter:
-    """Letters and digits of the clauses of each tag."""
+    """Characters, but for blanks, of the clauses of each tag."""
     size: Counter = Counter()
     for p, t in zip(parts, tags):
-        size[t] += len(_PLAIN.sub("", p))
+        size[t] += len(p) - p.count(" ")
     return size
 
 
 def defect_of(answer: str | None, parts: list[str], tags: list[str]) -> str | None:
-    """The defect of a pair from the share of its answer's letters that each tag covers; None where it has none."""
-    if is_empty(answer):
-        return "empty"
-    size = _covered(parts, tags)
+    """The defect of a pair from the share of its answer that each tag covers; None where it has none."""
+    return "empty" if is_empty(answer) else _defect(tags, _covered(parts, tags))
+
+
+def _defect(tags: list[str], size: Counter) -> str | None:
     whole = sum(size.values()) or 1
     if size["echo"] >= 0.9 * whole:
         return "echo"
@@ -263,7 +292,7 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
     rnd = random.Random(seed)
     pairs = [(q, a) for q, a in pairs if q and not is_empty(a)]
     models = train([t for p in pairs[:SAMPLE_TEXTS] for t in p])
-    made = {lang: [_refusal(lang, rnd) for _ in range(240)] for lang in REFUSALS}
+    made = {lang: [_refusal(lang, rnd) for _ in range(480)] for lang in REFUSALS}
     cue_counts = Counter()
     for texts in made.values():
         for t in texts:
@@ -298,6 +327,9 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
             continue
         if rnd.random() < 0.4 and (cut := _cut(parts[-1], rnd)):
             data.append((q, [*good[:-1], (cut, "unfinished")]))
+        if len(parts) > 1 and rnd.random() < 0.15:
+            # the same sentences, told as one
+            data.append((q, [("; ".join(p.rstrip(" .!?") for p in parts[:-1]) + "; " + parts[-1], "answer")]))
         if kind < 0.34:
             data.append((q, good))
         elif kind < 0.44:
@@ -314,32 +346,52 @@ def fit(pairs: list[tuple[str, str]], seed: int = 11) -> PairTagger:
             lang = rnd.choice(list(REFUSALS))
             data.append((q, [(c, "refusal") for c in clauses(_refusal(lang, rnd, q))]))
         elif kind < 0.92:
-            hedge = rnd.choice(_HEDGES)
-            data.append((q, [(hedge, "answer"), *good]))
+            data.append((q, [*[(c, "answer") for c in clauses(_hedge(q, rnd))], *good]))
         else:
             have = tagger.allowed(q, ql)
             other = rnd.choice([lang for lang in REFUSALS if lang not in have] or ["fr"])
             pool = texts_of[other] if len(texts_of[other]) >= 20 else texts_of[other] + [t for t in SEED_TEXTS[other]]
             data.append((q, [(rnd.choice(pool), "foreign") for _ in range(rnd.randint(1, 3))]))
     for texts in made.values():
-        for t in texts[: max(60, len(pairs) // 16)] if pairs else []:
+        for t in texts[: max(60, len(pairs) // 7)] if pairs else []:
             data.append((rnd.choice(pairs)[0], [(c, "refusal") for c in clauses(t)]))
     data = [(q, tagged) for q, tagged in data if tagged]
-    feats = tagger.feature_rows([(q, [p for p, _ in tagged]) for q, tagged in data])
+    feats = [tagger.strings(x) for x in tagger.feature_rows([(q, [p for p, _ in tagged]) for q, tagged in data])]
     tagger.crf = Crf(["answer", "refusal", "echo", "foreign", "unfinished"]).fit([(f, [t for _, t in tagged]) for f, (_, tagged) in zip(feats, data)])
     return tagger
 
 
-#: Answers that hedge or cite a refusal and go on to help; none of them is a refusal.
-_HEDGES = (
-    "I can't confirm every use of `umuti`; still, here is what a teacher says.", "Sorry, I don't know the history of `inka`, yet its use is clear.",
-    "`I can't help with inka.` is what Kamana says when refusing politely.", "`I must decline to discuss umuti.` is what Kezi says when refusing politely.",
-    "I am not sure about every region, but this form is common.", "Sinabihamya kuri `inka`, gusa Kezi abyigisha atya.", "Sinzi neza inkomoko ya `umuti`, ariko yumvikana i Huye.",
-    "`sinshobora kugufasha ku byerekeye inka.` ni ko Kezi ahakana mu kinyabupfura.", "Je ne suis pas certain, mais voici ce que l'on dit.", "Sina hakika kabisa, lakini neno hili hutumika hivi.",
-    "I cannot promise it is used everywhere, but you will hear it in Huye.", "I can't help with inka is what Kamana says when refusing politely.", "sinshobora kugufasha ku byerekeye inka ni ko Kezi ahakana mu kinyabupfura.",
+# What follows a cited refusal, and hedges with which an answer begins; none of them is a refusal.
+_CITING = ("is one way to say no.", "was her reply yesterday.", "means that the speaker will not help.", "sounds harsh among friends.", "ni uko bamusubije.", "bivuga ko adashaka gufasha.", "ni ko yavuze ejo.", "se dit quand on refuse.", "ni jibu alilopewa jana.")
+_HEDGING = (
+    "I can't say whether {} is used everywhere, but this much is known.", "Sorry, I am no expert on {}, yet this is how it works.", "I am not certain about {}; nevertheless it is explained below.",
+    "I cannot promise that this holds for {}, though most speakers agree.", "I don't know every form of {}, still the usual one is easy.", "Sinzi byose kuri {}, ariko dore uko bivugwa.",
+    "Simbizi neza, icyakora {} ivugwa ityo.", "Sinahamya ibya {}, gusa benshi babivuga batyo.", "Je ne suis pas sûr pour {}, mais voici l'usage.", "Sina uhakika kuhusu {}, lakini hutumika hivi.",
 )
 
 
+def _hedge(question: str, rnd: random.Random) -> str:
+    """A sentence that hedges, or cites a refusal with or without marks."""
+    if rnd.random() < 0.5:
+        said = _refusal(rnd.choice(list(REFUSALS)), rnd, question)
+        return f"`{said}` {rnd.choice(_CITING)}" if rnd.random() < 0.6 else f"{said.rstrip('.!?')} {rnd.choice(_CITING)}"
+    names = [t for t in _TOKEN.findall(question) if t[0] == "`" or t[0].isupper()] or ["`inka`"]
+    return rnd.choice(_HEDGING).format(rnd.choice(names))
+
+
+_FITTED: dict[int, PairTagger] = {}
+
+
+def fitted(pairs: list[tuple[str, str]]) -> PairTagger:
+    """The field of a sample, trained once in a driver: the same sample gives the same field."""
+    key = hash(tuple(pairs))
+    if key not in _FITTED:
+        if len(_FITTED) >= 4:
+            _FITTED.clear()
+        _FITTED[key] = fit(pairs)
+    return _FITTED[key]
+
+
 def _most(langs: list[str]) -> str:
     return max(sorted(set(langs)), key=langs.count, default="")
 
@@ -425,7 +477,7 @@ def message_pairs(records: DataFrame) -> DataFrame:
 def sample_pairs(records: DataFrame, n: int = SAMPLE_PAIRS) -> list[tuple[str, str]]:
     """First pair of at most n records, in the order of a hash of the content: a bounded training sample."""
     pair = F.filter(F.transform("messages", lambda m, k: F.struct(m["role"].alias("role"), m["content"].alias("q"), F.get("messages", k + 1).getField("role").alias("next"), F.get("messages", k + 1).getField("content").alias("a"))), lambda p: (p["role"] == "user") & (p["next"] == "assistant"))
-    rows = records.filter(F.size("messages") >= 2).select(F.explode(pair).alias("p")).select(F.substring("p.q", 1, 4000).alias("q"), F.substring("p.a", 1, 8000).alias("a")).filter("q is not null and a is not null")
+    rows = records.filter(F.size("messages") >= 2).select(F.explode(pair).alias("p")).select("p.q", "p.a").filter("q is not null and a is not null")
     return [(r[0], r[1]) for r in bounded_sample(rows, records.count(), n)]
 
 
@@ -435,7 +487,7 @@ def tagged_pairs(records: DataFrame, tagger: PairTagger | None = None, only_brok
     The defect is null for a sound pair. Null or empty answers are empty, null questions are empty texts; repeated
     deliveries of an id are one record; whole texts are read, however long. An empty table gives no rows.
     """
-    tagger = tagger or fit(sample_pairs(records))
+    tagger = tagger or fitted(sample_pairs(records))
     held = records.sparkSession.sparkContext.broadcast(tagger)
     names = ("answer", "refusal", "echo", "foreign", "unfinished")
 
@@ -447,10 +499,10 @@ def tagged_pairs(records: DataFrame, tagger: PairTagger | None = None, only_brok
             live = [n for n, a in enumerate(answers) if not is_empty(a)]
             tags = dict(zip(live, t.tag([(questions[n], answers[n]) for n in live])))
             defects, shares = [], []
-            for n, a in enumerate(answers):
+            for n in range(len(answers)):
                 parts, tg = tags.get(n, ([], []))
-                defects.append(defect_of(a, parts, tg))
                 size = _covered(parts, tg)
+                defects.append(_defect(tg, size) if n in tags else "empty")
                 whole = sum(size.values()) or 1
                 shares.append([size[k] / whole for k in names])
             out = pd.DataFrame({"id": b["id"], "at": b["at"], "h": b["h"], "pair_no": b["pair_no"], "defect": pd.Series(defects, dtype="object", index=b.index)})

@@ -30,26 +30,26 @@ SEED_WORDS = {
 # Short texts of everyday use, added to the training sentences so that no language starts from nothing.
 SEED_TEXTS = {
     "rw": [
-        "Murakoze cyane!", "Mwaramutse, mwarimu.", "Yego, ndabyumva.", "Sinabyumvise neza.", "Ndashaka kwiga byinshi kurushaho.",
-        "Ongera ubisobanure, nyabuneka.", "Ibyo ni byiza cyane.", "Muraho neza, amakuru yawe?", "Ni meza, urakoze.", "Ihangane, sinshobora kugufasha.",
+        "Murakoze ku mfashanyo mwaduhaye.", "Mwaramutse mwese, mwicare.", "Yego, ibyo ndabizi kuva kera.", "Ibyo uvuze ntabwo byumvikana.", "Twifuza kwiga indimi nyinshi muri uyu mwaka.",
+        "Subiramo ayo magambo gahoro gahoro.", "Uyu munsi ikirere kimeze neza.", "Muraho neza, amakuru yawe?", "Ni meza, urakoze.", "Wihangane, nta mwanya mfite ubu.",
         "Umwana agiye ku ishuri buri gitondo.", "Abantu benshi bakunda gusoma ibitabo.", "Ejo tuzajya ku isoko kugura imbuto.",
-        "Iki gitabo ni icya nde?", "Reka twige ururimi rw'ikinyarwanda.", "Ntabwo nzi igisubizo cy'iki kibazo.", "Mumbabarire, nanze gusubiza iki kibazo.",
+        "Iki gitabo ni icya nde?", "Reka twige ururimi rw'ikinyarwanda.", "Ntabwo nzi igisubizo cy'iki kibazo.", "Nyakubahwa, murebe niba urugi rufunze.",
     ],
     "en": [
-        "Thank you very much!", "Good morning, teacher.", "Yes, I understand.", "I did not understand well.", "I want to learn more.",
-        "Please explain it again.", "That is really good.", "Hello, how are you today?", "I am fine, thanks.", "I'm sorry, but I can't help with that.",
+        "We are grateful for the help you gave us.", "Good evening to all of you.", "Right, that has been known for a long time.", "I did not understand well.", "We would like to study several languages this year.",
+        "Repeat these words slowly.", "The weather is fine today.", "Hello, how are you today?", "I am fine, thanks.", "Forgive me, there is no time for it now.",
         "The child goes to school every morning.", "Many people like to read books.", "Tomorrow we will go to the market to buy fruit.",
-        "Whose book is this?", "Let us learn the language together.", "I do not know the answer to this question.", "See you later!",
+        "Whose book is this?", "Let us learn the language together.", "I do not know the answer to this question.", "Please check whether the door is locked.",
     ],
     "fr": [
-        "Merci beaucoup !", "Bonjour, monsieur le professeur.", "Oui, je comprends.", "Je n'ai pas bien compris.", "Je veux apprendre davantage.",
-        "Expliquez encore, s'il vous plaît.", "C'est vraiment bien.", "Bonjour, comment allez-vous aujourd'hui ?", "Je vais bien, merci.", "Désolé, je ne peux pas vous aider.",
+        "Nous vous remercions de votre aide.", "Bonjour, monsieur le professeur.", "Oui, on le sait depuis longtemps.", "Ce que vous dites n'est pas clair.", "Nous voulons étudier plusieurs langues cette année.",
+        "Répétez ces mots lentement.", "Il fait beau aujourd'hui.", "Bonjour, comment allez-vous aujourd'hui ?", "Je vais bien, merci.", "Excusez-moi, je n'ai pas le temps maintenant.",
         "L'enfant va à l'école chaque matin.", "Beaucoup de gens aiment lire des livres.", "Demain nous irons au marché acheter des fruits.",
         "À qui est ce livre ?", "Apprenons la langue ensemble.", "Je ne connais pas la réponse à cette question.", "À demain, bonne journée !",
     ],
     "sw": [
-        "Asante sana!", "Habari za asubuhi, mwalimu.", "Ndiyo, naelewa.", "Sijaelewa vizuri.", "Nataka kujifunza zaidi.",
-        "Tafadhali eleza tena.", "Hiyo ni nzuri sana.", "Habari, hujambo leo?", "Sijambo, asante.", "Samahani, siwezi kukusaidia kuhusu hilo.",
+        "Tunakushukuru kwa msaada wako.", "Habari za jioni, wanafunzi wote.", "Ndiyo, jambo hilo linajulikana tangu zamani.", "Unachosema hakieleweki.", "Tungependa kujifunza lugha nyingi mwaka huu.",
+        "Rudia maneno haya polepole.", "Hali ya hewa ni nzuri leo.", "Habari, hujambo leo?", "Sijambo, asante.", "Samahani, sina nafasi sasa.",
         "Mtoto huenda shuleni kila asubuhi.", "Watu wengi wanapenda kusoma vitabu.", "Kesho tutakwenda sokoni kununua matunda.",
         "Kitabu hiki ni cha nani?", "Tujifunze lugha pamoja.", "Sijui jibu la swali hili.", "Kwaheri, tutaonana kesho!",
     ],

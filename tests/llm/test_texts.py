@@ -161,6 +161,24 @@ def test_held_out_broken_copies(spark, data, tagger):
         assert got.count(name) >= 0.95 * len(made)
 
 
+def test_refusals_of_no_list(tagger):
+    """Forms that no list of the operator holds; cited and hedging ones are no refusals."""
+    refused = (
+        "I can't help with inka. Please ask a teacher in Huye.", "Thank you for asking, but I must decline to discuss Kezi.", "Sorry, there is nothing I can say about umuti.",
+        "As a language model, this request about Huye is outside what I am allowed to do.", "Sinshobora kugufasha ku byerekeye inka. Baza umwarimu w'i Huye.",
+        "Mumbabarire, ntabwo nemerewe gusubiza ibibazo kuri Kezi.", "Désolé, je ne peux pas vous aider au sujet de Kezi.", "Je regrette, mais il m'est impossible de répondre à propos de Huye.",
+    )
+    sound = (
+        "`I can't help with inka.` is what Kamana says when refusing politely. The word `inka` is used in Huye by many people every day.",
+        "I can't confirm every use of `umuti`; still, here is what a teacher says. The word `umuti` keeps its first vowel in this sentence.",
+    )
+    listed = [x for lists in pair_defects.REFUSALS.values() for x in lists[1]]
+    assert not any(core.format("inka").rstrip(".") in text for core in listed for text in refused if "{}" in core)
+    question = "Write a short sentence with `umuti` that Kezi could use in Huye."
+    got = [pair_defects.defect_of(a, *t) for a, t in zip(refused + sound, tagger.tag([(question, a) for a in refused + sound]))]
+    assert got[: len(refused)].count("refusal") >= len(refused) - 1 and got[len(refused) :] == [None] * len(sound)
+
+
 RECORDS = f"id string, messages {M}, ingested_at timestamp, defect string, question string"
 
 
