@@ -6,7 +6,8 @@ import unicodedata
 
 import regex
 
-_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Bytes of plain texts: letters in lower case, digits, and a blank for all else.
+_PLAIN = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
@@ -16,5 +17,5 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        return text.lower().translate(_BLANKS).split()
+        return text.encode().translate(_PLAIN).decode("ascii").split()
     return _RUN.findall(_FORMAT.sub("", unicodedata.normalize("NFKC", _FORMAT.sub("", text)).casefold()))
