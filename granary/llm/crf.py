@@ -70,7 +70,21 @@ class Crf:
 
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best label sequence under the scores of each position."""
-        return self.decode(s, np.array([len(s)]))[0].tolist()
+        rows, into, labels = s.tolist(), self.t.T.tolist(), range(len(self.labels))
+        best, back = rows[0], []
+        for row in rows[1:]:
+            came, now = [], []
+            for k in labels:
+                reach = [x + y for x, y in zip(best, into[k])]
+                top = max(reach)
+                came.append(reach.index(top))
+                now.append(top + row[k])
+            back.append(came)
+            best = now
+        out = [best.index(max(best))]
+        for came in reversed(back):
+            out.append(came[out[-1]])
+        return out[::-1]
 
     def decode(self, scores: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """The best label sequence of each of many sequences, whose scores follow one another; those of one length together."""
@@ -78,12 +92,16 @@ class Crf:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
         for n in np.unique(sizes[sizes > 0]).tolist():
             mine = np.flatnonzero(sizes == n)
+            if len(mine) < 8:  # numpy pays where many go together
+                for k in mine.tolist():
+                    out[k] = np.array(self.viterbi(scores[starts[k] : starts[k] + n]))
+                continue
             rows = scores[starts[mine][:, None] + np.arange(n)]
             best, back = rows[:, 0], []
             for j in range(1, n):
                 reach = best[:, :, None] + self.t
                 came = reach.argmax(axis=1)
-                best = np.take_along_axis(reach, came[:, None, :], axis=1)[:, 0] + rows[:, j]
+                best = reach.max(axis=1) + rows[:, j]
                 back.append(came)
             tags = np.empty((len(mine), n), np.int64)
             tags[:, -1] = best.argmax(axis=1)

@@ -377,3 +377,38 @@ def test_seed_texts_are_told_apart():
     models = language.train([])
     for lang, texts in SEED_TEXTS.items():
         assert [language.classify(models, [t])[0][0] for t in texts] == [lang] * len(texts)
+
+
+def test_marks_within_a_long_quotation_end_nothing(segmenter):
+    inner = " ".join(f"Kana came to Huye on day {k}." for k in range(120))
+    text = f'Beza said: "{inner}" Then we left.'
+    assert len(inner) > 1_500 and [text[a:b] for a, b in segmenter.split(text)] == [f'Beza said: "{inner}"', "Then we left."]
+
+
+def test_short_stretches_without_marks_are_cut(segmenter):
+    said = ["老师昨天在图书馆读了故事", "你知道地图在哪里吗"]
+    text = "".join(said) + "。下雨了。"
+    found = [text[a:b] for a, b in segmenter.split(text)]
+    assert "".join(found) == text and found[-1] == "下雨了。" and len(found) in (2, 3)
+
+
+def test_paragraphs_of_each_script_come_apart_again(spark, data):
+    """Recall and precision by script on put-together paragraphs of sentences that took no part in the training."""
+    texts = sentences.sample_documents(spark.read.parquet(f"{data}/documents.parquet"))
+    held, model = texts[::3], sentences.fit([t for k, t in enumerate(texts) if k % 3])
+    whole = sentences.whole_sentences(held)
+    rnd = random.Random(9)
+    for script, said in sorted(whole.items()):
+        if len(said) < 4:
+            continue
+        made = sentences.Composer(said, rnd)
+        right = found = wanted = 0
+        for _ in range(150):
+            text = made.paragraph(made)
+            plain, want, at = text.replace("|", ""), set(), 0
+            for part in text.split("|")[:-1]:
+                at += len(part)
+                want.add(at)
+            got = {b for _, b in model.split(plain)}
+            right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
+        assert right >= 0.97 * wanted and right >= 0.97 * found, (script, right / wanted, right / found)
