@@ -9,17 +9,20 @@ Texts are dealt into blocks of bounded size by a hash, so blocks are packed apar
 from __future__ import annotations
 
 import base64
+import os
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.frames import emit, plain
-from granary.session import spread, written
+from granary.session import enough_tasks, written
 
-#: A file of a public tokenizer, one base64 token and its rank in a line; must be at the same path on every executor.
+#: A file of a public tokenizer, one base64 token and its rank in a line; must be at the same path on every executor, or
+#: be sent there by SparkContext.addFile(), which is looked at if the path is not there.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published splitting pattern of that kind of tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,18 +45,22 @@ def encoding(path: str = TOKENIZER):
     if path not in _OPEN:
         import tiktoken
 
+        if not os.path.exists(path):
+            path = SparkFiles.get(os.path.basename(path))
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _OPEN[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _OPEN[path]
 
 
-def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER, with_runs: bool = False) -> DataFrame:
-    """(key, tokens, loss_tokens) of texts with columns key, parts (array<struct<text, loss boolean>>).
+def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER, with_runs: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, tokens, loss_tokens, and the kept columns) of texts with columns key, parts (array<struct<text, loss boolean>>).
 
-    With with_runs, also runs: the tokens of each part in order, below zero where they bear no loss.
+    With with_runs, also runs: the tokens of each part in order, below zero where they bear no loss. Texts are counted
+    where they are read.
     """
     kind = texts.schema[key].dataType.simpleString()
+    kept = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         enc = encoding(tokenizer)
@@ -69,7 +76,7 @@ def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZE
             total, bearing = np.zeros(len(b), "int64"), np.zeros(len(b), "int64")
             np.add.at(total, owner, sizes)
             np.add.at(bearing, owner, [s if q else 0 for s, q in zip(sizes, loss)])
-            out = pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing})
+            out = pd.DataFrame({key: b[key], "tokens": total, "loss_tokens": bearing} | {c: b[c] for c in keep})
             if with_runs:
                 runs: list[list[int]] = [[] for _ in range(len(b))]
                 for n, s, q in zip(owner, sizes, loss):
@@ -77,7 +84,7 @@ def token_sizes(texts: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZE
                 out["runs"] = pd.Series(runs, index=b.index, dtype="object")
             yield from emit(out)
 
-    return spread(texts.select(key, "parts")).mapInPandas(run, f"{key} {kind}, tokens long, loss_tokens long" + (", runs array<long>" if with_runs else ""))
+    return enough_tasks(texts.select(key, "parts", *keep)).mapInPandas(run, f"{key} {kind}, tokens long, loss_tokens long{kept}" + (", runs array<long>" if with_runs else ""))
 
 
 def cut_runs(runs: list[int], limits: Limits) -> list[tuple[int, int]]:
@@ -151,8 +158,7 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:
                 break
             can = live[fits]
             k = can[np.argmax(vec[can] @ (weight * rest))]
-            times = 1
-            left[k] -= times
+            left[k] -= 1
             out[order[first[k]]] = window
             first[k] += 1
             rest = rest - vec[k]
@@ -182,7 +188,10 @@ def packed(items: DataFrame, key: str, limits: Limits, block: int = BLOCK) -> Da
         pdf["slot"] = pdf.groupby("window_id").cumcount().astype("int64")
         return plain(pdf[["window_id", "slot", key, "piece_no", "start_token", "tokens", "loss_tokens"]])
 
-    return dealt.groupBy("block").applyInPandas(run, f"window_id long, slot long, {key} {kind}, piece_no long, start_token long, tokens long, loss_tokens long")
+    # a stated number of partitions: few bytes, but much work for each, so they must not be merged into a few tasks
+    spark = items.sparkSession
+    parts = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    return dealt.repartition(parts, "block").groupBy("block").applyInPandas(run, f"window_id long, slot long, {key} {kind}, piece_no long, start_token long, tokens long, loss_tokens long")
 
 
 def fill_report(windows: DataFrame, limits: Limits) -> DataFrame:
@@ -197,9 +206,9 @@ def document_parts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.array(F.struct(F.col("text"), F.lit(True).alias("loss"))).alias("parts"))
 
 
-def instruction_parts(once: DataFrame) -> DataFrame:
-    """(id, parts) of records: one part for each message, of which the assistant's bear loss."""
-    return once.select("id", F.transform("messages", lambda m: F.struct(m["content"].alias("text"), F.coalesce(m["role"] == "assistant", F.lit(False)).alias("loss"))).alias("parts"))
+def instruction_parts(records: DataFrame, *more: Column | str) -> DataFrame:
+    """(id, parts, and more) of records: one part for each message, of which the assistant's bear loss."""
+    return records.select("id", *more, F.transform("messages", lambda m: F.struct(m["content"].alias("text"), F.coalesce(m["role"] == "assistant", F.lit(False)).alias("loss"))).alias("parts"))
 
 
 
@@ -211,7 +220,10 @@ def pack_documents(documents: DataFrame, limits: Limits | None = None, tokenizer
 
 def pack_instructions(records: DataFrame, limits: Limits | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """Windows of instruction records under limits on tokens, records and the assistant's tokens."""
-    from granary.llm.pair_defects import once
+    from granary.llm.pair_defects import of_first_delivery, repeated_deliveries
 
     limits = limits or Limits(2_048, 16, 1_280)
-    return packed(run_pieces(token_sizes(instruction_parts(once(records)), "id", tokenizer, True), "id", limits), "id", limits)
+    # every delivery is counted where it is read; the few later ones go by their keys, so that no conversation moves
+    rows = instruction_parts(records.filter(F.col("id").isNotNull()), F.col("ingested_at").alias("at"), F.xxhash64("messages").alias("h"))
+    sizes = of_first_delivery(token_sizes(rows, "id", tokenizer, True, ("at", "h")), repeated_deliveries(records)).dropDuplicates(["id"])
+    return packed(run_pieces(sizes, "id", limits), "id", limits)

@@ -78,7 +78,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"), F.sum((F.col("question_share") >= 0.8).cast("long")).alias("with_question"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

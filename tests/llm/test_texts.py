@@ -278,7 +278,7 @@ def test_leaks_against_brute_force():
             part = part[:j] + ({"x": ["zz"], "d": [], "a": ["zz", part[j]]}[how]) + part[j + 1 :]
         ws = _item(rnd, 20).split() + part + _item(rnd, 10).split()
         want = {c for c in range(12) if _repeats(ws, index.words[c])}
-        got = {c for c, _ in index.leaks(" ".join(ws))}
+        got = {c for c, _, _ in index.leaks(" ".join(ws))}
         assert want == got
         hits += bool(want)
     assert hits > 15
@@ -288,6 +288,8 @@ def test_what_a_reader_sees():
     said = leakage.seen_words("<b>Th­е</b> **blue** c&#97;t, [sat](http://x.y) n&#39;igare&nbsp;É")
     assert said == ["the", "blue", "cat", "sat", "n", "igare", "e"]
     assert leakage.passage("one line") == "one line" and leakage.passage(None) == ""
+    # tags of any length say nothing; those that part words do, the others do not
+    assert leakage.seen_words(f"one<br>two</p><p class='{'x' * 900}'>th<b>re</b>e [four](http://{'y' * 900})") == ["one", "two", "three", "four"]
 
 
 def test_documents_that_leak(spark):
@@ -302,6 +304,14 @@ def test_documents_that_leak(spark):
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_the_question_is_looked_for_besides():
+    text = "Read the passage.\n" + " ".join(f"p{k}" for k in range(30)) + "\nWhat did the old farmer sell?"
+    index = leakage.ItemIndex([("i", text)])
+    body = " ".join(f"p{k}" for k in range(20))
+    assert index.leaks(f"{body} and what did the old farmer sell") == [(0, 20, 1.0)]
+    assert index.leaks(f"{body} and more") == [(0, 20, 0.0)] and index.leaks("what did the old farmer sell") == []
+
+
 def test_items_in_blocks_find_the_same(spark, monkeypatch):
     rnd = random.Random(6)
     texts = [_item(rnd, 40) for _ in range(7)]
