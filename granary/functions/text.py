@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed value: words of letters, joined by apostrophes or hyphens.
 WORD = r"\p{L}+(?:['’-]\p{L}+)*"
 #: Fixed value: control tokens that a response should not hold.
-CONTROL = r"<\|?[a-z_]+\|?>|<(?:start|end)_of_turn>"
+CONTROL = r"<\|?(?:audio|image|video)\|?>"
 
 
 def strip(c: Column) -> Column:
@@ -70,9 +70,12 @@ def batch_code(c: Column) -> Column:
 
 
 def turns(c: Column) -> Column:
-    """array<struct<role, content>> of a text marked up by USER: and ASSISTANT: lines; turns without body are left out."""
-    marks = F.regexp_extract_all(c, F.lit(r"(?m)^(USER|ASSISTANT):[ \t]*$?"), 1)
-    bodies = F.slice(F.split(c, r"(?m)^(?:USER|ASSISTANT):[ \t]*"), 2, 1_000_000)
+    """array<struct<role, content>> of a text marked up by USER: and ASSISTANT: lines; turns without body are left out.
+
+    A label stands alone on its line; one that is followed by words is part of what is said.
+    """
+    marks = F.regexp_extract_all(c, F.lit(r"(?m)^(USER|ASSISTANT):\s*$"), 1)
+    bodies = F.slice(F.split(c, r"(?m)^(?:USER|ASSISTANT):\s*$"), 2, 1_000_000)
     pairs = F.transform(F.arrays_zip(marks.alias("r"), bodies.alias("b")), lambda p: F.struct(F.lower(p["r"]).alias("role"), strip(p["b"]).alias("content")))
     return F.filter(pairs, lambda m: m["content"] != "")
 

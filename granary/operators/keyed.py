@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.session import written
+
 
 class GateError(ValueError):
     """A check of keys failed; the message shows a few of the keys."""
@@ -44,6 +46,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], last: bool = F
     return df.groupBy(*keys).agg(pick.alias("__row")).select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest])
 
 
+#: Keys up to which a written table of repeated keys is broadcast.
+SMALL = 300_000
+
+
+def first_delivery(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """As first_by, where few keys are repeated: those are found by the key alone, and only their rows move."""
+    again = written(df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").select(key))
+    again = F.broadcast(again) if again.count() <= SMALL else again
+    return df.join(again, key, "left_anti").unionByName(first_by(df.join(again, key, "left_semi"), [key], order).select(df.columns))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: an append log read as a table of its latest state."""
     return first_by(df, keys, order, last=True)

@@ -46,12 +46,13 @@ def salted_order(key: Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def ordered_fill(groups: DataFrame, share: float, seed: str, key: str = "group_id", size: str = "n", most_rounds: int = 500) -> DataFrame:
+def ordered_fill(groups: DataFrame, share: float, seed: str, key: str = "group_id", size: str = "n", most_rounds: int = 2_000) -> DataFrame:
     """Each group with split train or validation: in salted order a group goes to train if it fits what is left of the quota.
 
     A group too large is passed over and later, smaller ones may still fit. Each round takes all groups up to the first
     that does not fit; it is found by totals of 4096 hash ranges and a running total inside one of them, so neither a
     task nor the driver holds all groups. A round's groups are one range of the order, so the result is a few conditions.
+    A fill that does not end in most_rounds rounds is an error, never a partial result.
     """
     g = written(groups.withColumn("__h", salted_order(F.col(key), seed)).withColumn("__bucket", F.substring("__h", 1, 3)))
     left = int((g.agg(F.sum(size)).head()[0] or 0) * share)
@@ -76,6 +77,8 @@ def ordered_fill(groups: DataFrame, share: float, seed: str, key: str = "group_i
         taken.append((after, over, left))
         left -= sum_ + inside
         after = over
+    else:
+        raise RuntimeError(f"the fill did not end in {most_rounds} rounds")
     chosen = F.lit(False)
     for lo, hi, cap in taken:
         chosen = chosen | ((F.col("__h") > lo) & (F.col("__h") < hi) & (F.col(size) <= cap))

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import conversations as C
-from granary.operators.keyed import first_by
+from granary.operators.keyed import first_delivery
 from granary.session import table
 
 # One record is the first delivery of an id.
-ONE = "(select id, split, source, task_type, task_family, messages, reviewer_notes, row_number() over (partition by id order by ingested_at nulls first) as rn from sft_records where id is not null)"
+ONE = "(select id, split, source, task_type, task_family, messages, reviewer_notes, row_number() over (partition by id order by ingested_at nulls first, coalesce(split, ''), coalesce(reviewer_notes, '')) as rn from sft_records where id is not null)"
 FLAT = f"(select id, split, task_type, i - 1 as pos, messages[i].role as role, messages[i].content as content from (select *, unnest(generate_series(1, len(messages))) as i from {ONE} where rn = 1))"
 
 
 def one_record(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sft_records").filter("id is not null").select("id", "split", "source", "task_type", "task_family", "messages", "reviewer_notes", "ingested_at")
-    return first_by(rows, ["id"], [F.col("ingested_at")])
+    return first_delivery(rows, "id", [F.col("ingested_at"), F.coalesce("split", F.lit("")), F.coalesce("reviewer_notes", F.lit(""))])
 
 
 def messages(spark, d):
@@ -91,7 +91,7 @@ ROLE_LAG = f"select id, pos, role from (select id, pos, role, lag(role) over (pa
 
 def _requests(spark, d):
     rows = table(spark, d, "chat_requests").filter("request_id is not null")
-    return first_by(rows, ["request_id"], [F.col("received_at")])
+    return first_delivery(rows, "request_id", [F.col("received_at")])
 
 
 REQ = "(select *, row_number() over (partition by request_id order by received_at nulls first) as rn from chat_requests where request_id is not null)"

@@ -57,33 +57,45 @@ def dropped_duplicates_map(spark, d):
 DROPPED = f"select doc_id, f as duplicate_of from (select doc_id, first_value(doc_id) over (partition by sha256({NORM}) order by doc_id) as f from documents where text is not null) where doc_id <> f"
 
 
-def _keyed(spark, d):
-    rows = table(spark, d, "sft_records").filter("id is not null")
-    one = lambda n, c: rows.select("id", F.lit(n).alias("field"), F.lower(T.strip(F.col(c))).alias("key"))
-    every = one(0, "content_key").unionByName(one(1, "source_document_id"))
-    return every.filter("key is not null and key like '%-%' and length(key) > 3")
+#: What a grouping key says when it is not known, after case and all but letters and digits are removed.
+NOT_KNOWN = (
+    "", "na", "none", "null", "nil", "nan", "unknown", "notknown", "unk", "tbd", "tba", "tbc", "undefined", "und",
+    "unspecified", "notspecified", "missing", "notavailable", "notapplicable", "empty", "blank", "pending", "nodata",
+    "notgiven", "notset", "unset", "untitled", "inconnu", "ntakizwi", "haijulikani", "ntibizwi",
+)
+GROUPING_KEYS = ("content_key", "source_group_id", "source_document_id")
+
+
+def _keyed(rows):
+    """(id, field, key) of the known grouping keys, whatever their spelling."""
+    said = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    named = F.array(*[F.struct(F.lit(k).alias("field"), said(F.col(k)).alias("key")) for k in GROUPING_KEYS])
+    return rows.select("id", F.inline(named)).filter(F.col("key").isNotNull() & ~F.col("key").isin(*NOT_KNOWN))
 
 
 def connected_records(spark, d):
-    return connected_components(star_edges(_keyed(spark, d), "id", ["field", "key"])).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    """(id, group_id) of the ids that share a known grouping key with another, directly or through others."""
+    rows = table(spark, d, "sft_records").filter("id is not null")
+    return connected_components(star_edges(_keyed(rows), "id", ["field", "key"])).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
-_KEYS = "(select distinct * from (select id, 0 as field, lower(regexp_replace(content_key, '^\\s+|\\s+$', '', 'g')) as k from sft_records union all select id, 1, lower(regexp_replace(source_document_id, '^\\s+|\\s+$', '', 'g')) from sft_records) where id is not null and k like '%-%' and length(k) > 3)"
+_UNKNOWN = ", ".join(f"'{v}'" for v in NOT_KNOWN)
+_KEYS = "(" + " union ".join(f"select id, {n} as field, regexp_replace(lower({k}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as k from sft_records where id is not null and {k} is not null" for n, k in enumerate(GROUPING_KEYS)) + ")"
 CONNECTED = f"""
-with recursive s as (select id, min(id) over (partition by field, k) as hub from {_KEYS}),
+with recursive s as (select id, min(id) over (partition by field, k) as hub from {_KEYS} where k not in ({_UNKNOWN})),
 e as (select distinct id as a, hub as b from s where id <> hub union select distinct hub, id from s where id <> hub),
 w(root, id) as (select distinct a, a from e union select w.root, e.b from w join e on e.a = w.id)
 select id, min(root) as group_id from w group by id
 """
 
 
-#: What a grouping key says when it is not known, after case and all but letters and digits are removed.
-NOT_KNOWN = (
-    "", "na", "none", "null", "nil", "nan", "unknown", "notknown", "unk", "tbd", "tba", "tbc", "undefined", "und",
-    "unspecified", "notspecified", "missing", "notavailable", "notapplicable", "empty", "blank", "pending", "nodata",
-    "notgiven", "notset", "unset", "untitled", "inconnu", "ntakizwi", "haijulikani", "ntibizwi",
-)
-GROUPING_KEYS = ("content_key", "source_group_id", "source_document_id")
+def component_count(spark, d):
+    """Connected groups, the ids in them, and the largest of them."""
+    sizes = connected_records(spark, d).groupBy("group_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.max("n").alias("largest"))
+
+
+COMPONENT_COUNT = f"select count(*) as groups, cast(coalesce(sum(n), 0) as bigint) as ids, max(n) as largest from (select group_id, count(*) as n from ({CONNECTED}) group by 1)"
 
 
 def connected_records_any_key(spark, d):
@@ -93,12 +105,9 @@ def connected_records_any_key(spark, d):
     assistant message. No record is left out: one that shares nothing is its own group.
     """
     rows = table(spark, d, "sft_records").filter("id is not null")
-    said = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    named = F.array(*[F.struct(F.lit(k).alias("field"), said(F.col(k)).alias("key")) for k in GROUPING_KEYS])
-    fields = rows.select("id", F.inline(named)).filter(~F.col("key").isin(*NOT_KNOWN))
     texts = rows.select("id", F.inline(F.transform("messages", lambda m: F.struct(m["role"].alias("field"), T.leakage_text(m["content"]).alias("key")))))
     texts = texts.filter("field in ('user', 'assistant') and key <> ''").withColumn("key", F.sha2("key", 256))
-    found = connected_components(star_edges(fields.unionByName(texts), "id", ["field", "key"]))
+    found = connected_components(star_edges(_keyed(rows).unionByName(texts), "id", ["field", "key"]))
     ids = rows.select("id").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     return ids.select("id", F.coalesce("component", "id").alias("group_id"))
 
@@ -265,7 +274,7 @@ TOP_TWO = "select source, k, doc_id, n_chars from (select source, doc_id, n_char
 QUERIES = {
     "normalized_text_hash": normalized_text_hash, "draft_text_hash": draft_text_hash, "exact_duplicate_groups": exact_duplicate_groups,
     "dedup_keep_first": dedup_keep_first, "dropped_duplicates_map": dropped_duplicates_map, "connected_records": connected_records,
-    "connected_records_any_key": connected_records_any_key,
+    "connected_records_any_key": connected_records_any_key, "component_count": component_count,
     "grouped_split": grouped_split, "hash_bucket_split": hash_bucket_split, "positional_split": positional_split, "round_robin_shards": round_robin_shards,
     "seeded_hash_shuffle": seeded_hash_shuffle, "word_stats": word_stats, "corpus_ratio_by_lang_with_all": corpus_ratio_by_lang,
     "most_fragmented_example": most_fragmented, "category_counts_vs_target": category_counts_vs_target, "size_class_manifest": size_class_manifest,
@@ -274,7 +283,7 @@ QUERIES = {
 }
 ORACLES = {
     "normalized_text_hash": NORMALIZED, "draft_text_hash": DRAFT_TEXT, "exact_duplicate_groups": DUPLICATES, "dedup_keep_first": DEDUP,
-    "dropped_duplicates_map": DROPPED, "connected_records": CONNECTED, "grouped_split": GROUPED_SPLIT, "hash_bucket_split": HASH_SPLIT,
+    "dropped_duplicates_map": DROPPED, "connected_records": CONNECTED, "component_count": COMPONENT_COUNT, "grouped_split": GROUPED_SPLIT, "hash_bucket_split": HASH_SPLIT,
     "positional_split": POSITIONAL, "round_robin_shards": ROUND_ROBIN, "seeded_hash_shuffle": SHUFFLE, "word_stats": WORD_STATS,
     "corpus_ratio_by_lang_with_all": RATIO, "most_fragmented_example": FRAGMENTED, "category_counts_vs_target": TARGETS,
     "size_class_manifest": SIZE_CLASS, "source_first_pass": FIRST_PASS, "template_variants": TEMPLATES, "slug_ids": SLUGS,

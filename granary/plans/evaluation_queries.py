@@ -75,7 +75,7 @@ def response_flags(spark, d):
     return latest_rows(spark, d).select(*KEY, flags.alias("flags")).filter("flags <> ''")
 
 
-_CONTROL = T.CONTROL.replace("'", "''")
+_CONTROL = "<[|]?(audio|image|video)[|]?>"
 FLAGS = f"""
 select * from (select run_id, candidate_id, task_id, concat_ws(',', case when status = 'error' then 'error' end, case when finish_reason = 'length' then 'cut' end,
   case when regexp_matches(response, '{_CONTROL}') then 'control' end, case when output_tokens >= 600 then 'long' end) as flags from {LAST}) where flags <> ''

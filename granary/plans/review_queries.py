@@ -19,7 +19,7 @@ def assessments(spark, d):
     doc = F.try_parse_json(F.regexp_extract("output_text", r"(?s)\{.*\}", 0))
     rows = raw.withColumn("doc", doc).filter(F.col("doc").isNotNull() & T.is_blank(F.col("error")))
     got = lambda path, kind: F.try_variant_get("doc", path, kind)
-    flat = rows.select("job_id", "response_id", "received_at", got("$.recommendation", "string").alias("recommendation"), F.from_json(got("$.scores", "string"), SCORES).alias("scores"), F.from_json(got("$.failure_tags", "string"), "array<string>").alias("failure_tags"), got("$.brief_notes", "string").alias("brief_notes"))
+    flat = rows.select("job_id", "response_id", "received_at", got("$.recommendation", "string").alias("recommendation"), F.from_json(got("$.scores", "string"), SCORES).alias("scores"), F.from_json(got("$.failure_tags", "string"), "array<string>").alias("failure_tags"), got("$.brief_notes", "string").alias("brief_notes"), got("$.revised_messages", "string").alias("revised"))
     # a map has no order, which an aggregate over rows asks for: it travels as JSON
     packed = flat.withColumn("scores", F.to_json("scores"))
     one = K.latest(packed, ["job_id"], [F.col("received_at"), F.col("response_id")])
@@ -33,16 +33,25 @@ ASSESS = f"""(select job_id, response_id, recommendation, doc from (
   where doc is not null and trim(coalesce(error, '')) = '') where rn = 1)"""
 
 
+def last_jobs(spark, d):
+    """(id, job_id): the last job of each record; a later one takes the place of an earlier one."""
+    jobs = table(spark, d, "critic_jobs").filter("job_id is not null and source_record_id is not null").select(F.col("source_record_id").alias("id"), "job_id", "queued_at")
+    return K.latest(jobs, ["id"], [F.col("queued_at"), F.col("job_id")]).select("id", "job_id")
+
+
+JOBS = "(select id, job_id from (select source_record_id as id, job_id, row_number() over (partition by source_record_id order by queued_at desc nulls last, job_id desc) as k from critic_jobs where job_id is not null and source_record_id is not null) where k = 1)"
+
+
 def critic_join_selection(spark, d):
     """Drafts with their critic's decision: reject drops, repair is marked, a record without a job stays out."""
-    jobs = table(spark, d, "critic_jobs").select("job_id", F.col("source_record_id").alias("id")).dropDuplicates(["job_id"])
+    jobs = last_jobs(spark, d)
     chosen = jobs.join(assessments(spark, d), "job_id").filter(F.col("recommendation").isin("accept", "repair"))
     return one_record(spark, d).join(chosen, "id").select("id", "job_id", "task_type", "recommendation", F.size("failure_tags").cast("long").alias("n_tags"))
 
 
 CRITIC_SELECTION = f"""
 select o.id, j.job_id, o.task_type, a.recommendation, json_array_length(a.doc, '$.failure_tags') as n_tags
-from {ONE} o join (select distinct job_id, source_record_id from critic_jobs) j on j.source_record_id = o.id join {ASSESS} a using (job_id)
+from {ONE} o join {JOBS} j on j.id = o.id join {ASSESS} a using (job_id)
 where o.rn = 1 and a.recommendation in ('accept', 'repair')
 """
 
@@ -102,6 +111,15 @@ def unreviewed_records(spark, d):
 UNREVIEWED = f"select id from {ONE} o where rn = 1 and not exists (select 1 from review_rows r where r.id = o.id)"
 
 
+def unknown_reviews(spark, d):
+    """Reviews of ids that no record has; blank ids are reported apart by duplicate_review_keys."""
+    rows = table(spark, d, "review_rows").select(F.nullif(T.strip(F.col("id")), F.lit("")).alias("id"), "reviewed_at").filter("id is not null")
+    return K.unmatched(rows, table(spark, d, "sft_records").select("id"), "id")
+
+
+UNKNOWN_REVIEWS = "select id, reviewed_at from (select nullif(regexp_replace(id, '^\\s+|\\s+$', '', 'g'), '') as id, reviewed_at from review_rows) r where id is not null and not exists (select 1 from sft_records s where s.id = r.id)"
+
+
 def duplicate_review_keys(spark, d):
     return K.duplicate_keys(table(spark, d, "review_rows").select(F.nullif(T.strip(F.col("id")), F.lit("")).alias("id")), "id")
 
@@ -142,34 +160,103 @@ def review_tags(spark, d):
 REVIEW_TAGS = "select tag, count(*) as n from (select trim(unnest(regexp_split_to_array(lower(failure_tags), '[,;|/]+'))) as tag from review_rows) where tag <> '' group by tag"
 
 
+_NOTES = (("correctness", "correctness_1_5"), ("naturalness", "naturalness_1_5"), ("helpfulness", "helpfulness_1_5"), ("failure_tags", "failure_tags"), ("reviewer", "reviewer"), ("notes", "r_notes"))
+
+
 def approved_promotion(spark, d):
-    """Records with an approved review that names its reviewer and has no tags, with the reviewer's notes rebuilt."""
+    """Records with an approved review that names its reviewer, has no tags and scores of 4 or 5, with the notes rebuilt."""
     rows = table(spark, d, "review_rows").filter("id is not null and review_status = 'approved'")
     last = K.latest(rows, ["id"], [F.col("reviewed_at"), F.coalesce("reviewer", F.lit("")), F.coalesce("reviewer_notes", F.lit(""))])
-    fit = last.filter(~T.is_blank(F.col("reviewer")) & T.is_blank(F.col("failure_tags")))
+    high = [F.coalesce(T.try_int(F.col(c)).between(4, 5), F.lit(False)) for c in _NAMES]
+    fit = last.filter(~T.is_blank(F.col("reviewer")) & T.is_blank(F.col("failure_tags")) & high[0] & high[1] & high[2]).withColumnRenamed("reviewer_notes", "r_notes")
     part = lambda k, c: F.when(~T.is_blank(F.col(c)), F.concat(F.lit(f"{k}="), T.strip(F.col(c))))
-    notes = F.concat_ws("; ", part("reviewer", "reviewer"), part("correctness", "correctness_1_5"), part("naturalness", "naturalness_1_5"), part("notes", "r_notes"))
-    fit = fit.withColumnRenamed("reviewer_notes", "r_notes").select("id", notes.alias("notes"))
-    return one_record(spark, d).select("id", "task_type").join(fit, "id")
+    notes = F.coalesce(F.nullif(F.concat_ws("; ", *[part(k, c) for k, c in _NOTES]), F.lit("")), F.lit("approved by reviewer"))
+    return one_record(spark, d).select("id", "task_type").join(fit.select("id", notes.alias("notes")), "id")
+
 
+def _trimmed(c: str) -> str:
+    return f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 
-_PART = "case when trim(coalesce({c}, '')) <> '' then '{k}=' || trim({c}) end"
+
+_PARTS = ", ".join(f"case when {_trimmed(c)} <> '' then '{k}=' || {_trimmed(c)} end" for k, c in ((k, "r.reviewer_notes" if c == "r_notes" else c) for k, c in _NOTES))
+_HIGH = " and ".join(f"coalesce(try_cast({_trimmed(c)} as int) between 4 and 5 and regexp_matches({_trimmed(c)}, '^[+-]?\\d+$'), false)" for c in _NAMES)
 PROMOTION = f"""
-select o.id, o.task_type, concat_ws('; ', {_PART.format(c='reviewer', k='reviewer')}, {_PART.format(c='correctness_1_5', k='correctness')}, {_PART.format(c='naturalness_1_5', k='naturalness')}, {_PART.format(c='r.reviewer_notes', k='notes')}) as notes
+select o.id, o.task_type, coalesce(nullif(concat_ws('; ', {_PARTS}), ''), 'approved by reviewer') as notes
 from {ONE} o join (select *, row_number() over (partition by id order by reviewed_at desc nulls last, coalesce(reviewer, '') desc, coalesce(reviewer_notes, '') desc) as k from review_rows where id is not null and review_status = 'approved') r on r.id = o.id and r.k = 1
-where o.rn = 1 and trim(coalesce(reviewer, '')) <> '' and trim(coalesce(failure_tags, '')) = ''
+where o.rn = 1 and {_trimmed('reviewer')} <> '' and {_trimmed('failure_tags')} = '' and {_HIGH}
 """
 
 
-def reviewer_decisions(spark, d):
-    rows = table(spark, d, "review_rows").select("id", "reviewed_at", "review_status", T.is_blank(F.col("failure_tags")).alias("clean"))
-    decision = F.when((F.col("review_status") == "approved") & F.col("clean"), "keep").when(F.col("review_status") == "approved", "disputed").when(F.col("review_status").isin("needs-fix"), "repair").otherwise("withhold")
-    return rows.select("review_status", decision.alias("decision")).groupBy("review_status", "decision").agg(F.count("*").alias("n"))
+#: The critic's priorities, and what a reviewer's flag may say.
+PRIORITIES = {"accept": "critic accepted", "repair": "repair first"}
+REVISION_FLAGS = ("accept revision", "apply revision", "revision", "use revision", "use suggested revision")
+WITHHOLD_FLAGS = ("needs fix", "not sure", "reject", "rejected", "skip")
+
 
+def reviewed_decision(priority, flag, revision, accept_disputed: bool = False):
+    """original, revision or withheld, or the error of a review: which text of a conversation its reviewer approved."""
+    said, first = F.lower(T.strip(F.coalesce(flag, F.lit("")))), F.lower(T.strip(F.coalesce(priority, F.lit(""))))
+    disputed = F.lit(not accept_disputed) & (first == "repair first")
+    return (
+        F.when(~first.isin(*PRIORITIES.values()), F.concat(F.lit("error: unknown priority "), first))
+        .when(said == "keep", F.when(disputed, "withheld").otherwise("original"))
+        .when(said.isin(*REVISION_FLAGS), F.when(T.is_blank(revision), "error: no revision").otherwise("revision"))
+        .when(said.isin(*WITHHOLD_FLAGS) | (said == ""), "withheld")
+        .otherwise(F.concat(F.lit("error: unknown flag "), said))
+    )
+
+
+#: The task type of each family stem; other families are an error.
+FAMILY_TYPES = {
+    "dialogue": "dialogue", "sentence-correction": "sentence-correction", "translation-en-rw": "translation-en-rw", "grammar-explanation": "grammar-explanation",
+    "pronunciation": "pronunciation", "reading-comprehension": "reading-comprehension", "vocabulary": "vocabulary", "culture-register": "culture-register",
+    "code-switching": "culture-register", "sentence-generation": "sentence-generation", "uncertainty": "uncertainty",
+}
 
-DECISIONS = """
-select review_status, case when review_status = 'approved' and c then 'keep' when review_status = 'approved' then 'disputed' when review_status = 'needs-fix' then 'repair' else 'withhold' end as decision, count(*) as n
-from (select review_status, regexp_replace(coalesce(failure_tags, ''), '^\\s+|\\s+$', '', 'g') = '' as c from review_rows) group by 1, 2
+
+def reviewed_rows(spark, d):
+    """(id, recommendation, review_status, decision, task_type) of reviews of records that have a critic's decision.
+
+    An approved review keeps the record, or its revision where the notes speak of a fix; other words stand as flags.
+    """
+    rows = table(spark, d, "review_rows").filter("id is not null").select("id", "review_status", "reviewer_notes")
+    critic = last_jobs(spark, d).join(assessments(spark, d), "job_id").select("id", "recommendation", "revised")
+    fix = (F.col("recommendation") == "repair") & F.coalesce(F.col("reviewer_notes").like("%fix%"), F.lit(False))
+    flag = F.when(F.col("review_status") == "approved", F.when(fix, "use revision").otherwise("keep")).otherwise(F.replace("review_status", F.lit("-"), F.lit(" ")))
+    priority = F.when(F.col("recommendation") == "accept", PRIORITIES["accept"]).when(F.col("recommendation") == "repair", PRIORITIES["repair"]).otherwise(F.col("recommendation"))
+    stem = F.regexp_replace("task_family", "-(?:basic|usage|multi)$", "")
+    types = F.create_map(*[F.lit(x) for pair in FAMILY_TYPES.items() for x in pair])
+    kind = one_record(spark, d).select("id", F.coalesce(types[stem], F.lit("error: unknown family")).alias("task_type"))
+    return rows.join(critic, "id").join(kind, "id").select("id", "recommendation", "review_status", reviewed_decision(priority, flag, F.col("revised")).alias("decision"), "task_type")
+
+
+def reviewer_decisions(spark, d):
+    return reviewed_rows(spark, d).groupBy("recommendation", "review_status", "decision").agg(F.count("*").alias("n"))
+
+
+def converted_reviews(spark, d):
+    """Counts of reviewed rows by what becomes of them: approved text and its task type, withheld, or an error."""
+    bad = F.col("decision").startswith("error") | F.col("decision").isin("original", "revision") & F.col("task_type").startswith("error")
+    outcome = F.when(bad, F.when(F.col("decision").startswith("error"), F.col("decision")).otherwise(F.col("task_type"))).otherwise(F.col("decision"))
+    kind = F.when(outcome.isin("original", "revision"), F.col("task_type"))
+    return reviewed_rows(spark, d).select(outcome.alias("outcome"), kind.alias("task_type")).groupBy("outcome", "task_type").agg(F.count("*").alias("n"))
+
+
+_FAMILY = "case regexp_replace(o.task_family, '-(basic|usage|multi)$', '') " + " ".join(f"when '{k}' then '{v}'" for k, v in FAMILY_TYPES.items()) + " else 'error: unknown family' end"
+REVIEWED = f"""(
+select id, recommendation, review_status, case
+  when p not in ('critic accepted', 'repair first') then 'error: unknown priority ' || p
+  when f = 'keep' then case when p = 'repair first' then 'withheld' else 'original' end
+  when f = 'use revision' then case when coalesce(revised, '') = '' then 'error: no revision' else 'revision' end
+  when f in ('needs fix', 'not sure', 'reject', 'rejected', 'skip', '') then 'withheld' else 'error: unknown flag ' || f end as decision, task_type
+from (select r.id, a.recommendation, r.review_status, json_extract_string(a.doc, '$.revised_messages') as revised, {_FAMILY} as task_type,
+    coalesce(case a.recommendation when 'accept' then 'critic accepted' when 'repair' then 'repair first' else lower(a.recommendation) end, '') as p,
+    case when r.review_status = 'approved' then case when a.recommendation = 'repair' and coalesce(r.reviewer_notes, '') like '%fix%' then 'use revision' else 'keep' end else lower(replace(coalesce(r.review_status, ''), '-', ' ')) end as f
+  from review_rows r join {JOBS} j on j.id = r.id join {ASSESS} a using (job_id) join {ONE} o on o.id = r.id and o.rn = 1))"""
+DECISIONS = f"select recommendation, review_status, decision, count(*) as n from {REVIEWED} group by 1, 2, 3"
+CONVERTED = f"""
+select outcome, case when outcome in ('original', 'revision') then task_type end as task_type, count(*) as n
+from (select case when decision in ('original', 'revision') and task_type like 'error%' then task_type else decision end as outcome, task_type from {REVIEWED}) group by 1, 2
 """
 
 
@@ -190,13 +277,13 @@ select id, reviewed_at, error from (select id, reviewed_at, case when not coales
 
 QUERIES = {
     "critic_join_selection": critic_join_selection, "recommendation_counts": recommendation_counts, "unusable_responses": unusable_responses,
-    "score_gate": score_gate, "key_set_mismatch": key_set_mismatch, "unknown_job_records": unknown_job_records, "unreviewed_records": unreviewed_records,
+    "score_gate": score_gate, "key_set_mismatch": key_set_mismatch, "unknown_job_records": unknown_job_records, "unreviewed_records": unreviewed_records, "unknown_reviews": unknown_reviews,
     "duplicate_review_keys": duplicate_review_keys, "review_scores": review_scores, "review_tags": review_tags,
-    "approved_promotion": approved_promotion, "reviewer_decision_matrix": reviewer_decisions, "id_pattern_validation": id_pattern_validation,
+    "approved_promotion": approved_promotion, "reviewer_decision_matrix": reviewer_decisions, "converted_reviews": converted_reviews, "id_pattern_validation": id_pattern_validation,
 }
 ORACLES = {
     "critic_join_selection": CRITIC_SELECTION, "recommendation_counts": RECOMMENDATIONS, "unusable_responses": UNUSABLE, "score_gate": SCORE_GATE,
-    "key_set_mismatch": KEY_MISMATCH, "unknown_job_records": UNKNOWN_JOBS, "unreviewed_records": UNREVIEWED, "duplicate_review_keys": DUPLICATE_REVIEWS,
-    "review_scores": REVIEW_SCORES, "review_tags": REVIEW_TAGS, "approved_promotion": PROMOTION, "reviewer_decision_matrix": DECISIONS,
+    "key_set_mismatch": KEY_MISMATCH, "unknown_job_records": UNKNOWN_JOBS, "unreviewed_records": UNREVIEWED, "unknown_reviews": UNKNOWN_REVIEWS, "duplicate_review_keys": DUPLICATE_REVIEWS,
+    "review_scores": REVIEW_SCORES, "review_tags": REVIEW_TAGS, "approved_promotion": PROMOTION, "reviewer_decision_matrix": DECISIONS, "converted_reviews": CONVERTED,
     "id_pattern_validation": ID_PATTERN,
 }

@@ -12,8 +12,8 @@ from granary.session import table
 
 
 def parsed_turns(spark, d):
-    """Conversations written out as marked-up text and read back as turns."""
-    lines = messages(spark, d).filter("role in ('user', 'assistant')").select("id", "pos", F.concat(F.upper("role"), F.lit(":\n"), F.coalesce("content", F.lit(""))).alias("line"))
+    """Conversations written out as marked-up text, some with a label inside a line, and read back as turns."""
+    lines = messages(spark, d).filter("role in ('user', 'assistant')").select("id", "pos", F.concat(F.upper("role"), F.lit(":\n"), F.coalesce("content", F.lit("")), F.when(F.col("pos") % 3 == 0, F.lit("\nUSER: is a label only alone")).otherwise("")).alias("line"))
     text = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
     turn = F.posexplode(T.turns(F.col("text"))).alias("turn", "m")
     return text.select("id", turn).select("id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
@@ -21,7 +21,7 @@ def parsed_turns(spark, d):
 
 PARSED_TURNS = rf"""
 select id, row_number() over (partition by id order by pos) - 1 as turn, role, c as content from (
-  select id, pos, role, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') as c from {FLAT} where role in ('user', 'assistant')) where c <> ''
+  select id, pos, role, regexp_replace(coalesce(content, '') || case when pos % 3 = 0 then chr(10) || 'USER: is a label only alone' else '' end, '^\s+|\s+$', '', 'g') as c from {FLAT} where role in ('user', 'assistant')) where c <> ''
 """
 
 

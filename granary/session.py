@@ -35,12 +35,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The shared folder named by spark.checkpoint.dir; only where it is unset, on one machine (tests), a temporary one.
+
+    On a cluster a machine's own folder would keep only a part of each table, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), "granary-checkpoints")
     sc.setCheckpointDir(folder)
     return folder

@@ -59,8 +59,10 @@ def guard_manifest(spark: SparkSession, path: str, manifest: dict, fixed: list[s
     return True
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A report table of at most `limit` rows of an aggregate, which is small by its nature."""
-    rows = df.select(*[table_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in df.columns]).limit(limit).collect()
+def markdown_table(df: DataFrame, most: int = 200) -> str:
+    """A report table of an aggregate, which is small by its nature; more than `most` rows are an error, none is left out."""
+    rows = df.select(*[table_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in df.columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
