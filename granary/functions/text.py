@@ -63,6 +63,11 @@ def is_revision(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{40}$"), F.lit(False))
 
 
+def is_profile_key(c: Column) -> Column:
+    """Lower-case ASCII letters, digits and hyphens, at least one."""
+    return F.coalesce(c.rlike("^[a-z0-9-]+$"), F.lit(False))
+
+
 def batch_code(c: Column) -> Column:
     """b007 of an id that ends in batch-7; null for any other."""
     number = F.regexp_extract(c, r"batch-(\d+)$", 1)
