@@ -72,6 +72,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(table(spark, d, "documents")), packing.Limits())
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are placed whole, and windows that break a limit."""
+    limits = packing.Limits()
+    rows = packing.pack_documents(table(spark, d, "documents"), limits)
+    by = rows.groupBy("window_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l"))
+    over = by.agg(*[F.sum((F.col(c) > most).cast("long")).alias(n) for c, most, n in (("t", limits.tokens, "over_tokens"), ("s", limits.segments, "over_segments"), ("l", limits.loss_tokens, "over_loss"))])
+    docs = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece_no").alias("last"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.sum("tokens").alias("t"))
+    whole = docs.agg(F.count("*").alias("placed"), F.sum(((F.col("n") != F.col("last") + 1) | (F.col("end") != F.col("t"))).cast("long")).alias("torn"))
+    return whole.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
@@ -89,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_pair_tags, p1_defect_counts, p2_found, p2_segments, p3_found, p3_groups, p4_found, p4_overlaps, p4_report,
-        p5_found, p5_splits, p6_windows, p6_instruction_windows, p6_fill, p7_found, p7_report, p8_found,
+        p5_found, p5_splits, p6_windows, p6_instruction_windows, p6_fill, p6_invariants, p7_found, p7_report, p8_found,
     )
 }
 
@@ -116,4 +127,33 @@ torn as (select group_id from groups join classes using (id) where c is not null
 select group_id, id from groups where group_id in (select group_id from torn)
 """
 
-ORACLES: dict[str, str] = {"p5_found": P5_FOUND_SQL}
+#: Brute force over all pairs of texts that share a word: the words of each text with the number of their occurrence.
+_ONCE = "(select id, lower(trim(split)) as split, messages from (select *, row_number() over (partition by id order by ingested_at nulls last) as k from sft_records where id is not null) where k = 1)"
+_SAID = "unnest(regexp_extract_all(lower(nfc_normalize(regexp_replace(m.content, '\\p{Cf}+', '', 'g'))), '[\\p{L}\\p{N}]+'))"
+_TOKENS = f"""
+texts as (select id, split, unnest(messages) as m from {_ONCE}),
+words as (select id, split, {_SAID} as w from texts where m.role in ('user', 'assistant')),
+tokens as (select id, split, w, row_number() over (partition by id, w) as k from words),
+sizes as (select id, count(*) as n from tokens group by id)"""
+P3_FOUND_SQL = f"""
+with {_TOKENS},
+pairs as (select a.id as id_a, b.id as id_b, count(*) as s from tokens a join tokens b on a.w = b.w and a.k = b.k and a.id < b.id group by 1, 2)
+select id_a, id_b from pairs join sizes x on x.id = id_a join sizes y on y.id = id_b where s >= 0.7 * (x.n + y.n - s) - 1e-9
+"""
+P4_FOUND_SQL = f"""
+with {_TOKENS},
+pairs as (select a.id as x, b.id as y, count(*) as s from tokens a join tokens b on a.w = b.w and a.k = b.k where a.split in ('train', 'experimental-train') and b.split in ('validation', 'experimental-validation', 'benchmark-only') group by 1, 2),
+lines as (select id, row_number() over () as line, m from texts where m.role = 'user' and split in ('train', 'experimental-train')),
+lw as (select id, line, {_SAID} as w from lines),
+lt as (select id, line, w, row_number() over (partition by line, w) as k, count(*) over (partition by line) as n from lw),
+asked as (select id as task, struct_pack(content := prompt) as m from tutor_tasks where lower(trim(split)) = 'benchmark-only'),
+aw as (select task, {_SAID} as w from asked),
+at_ as (select task, w, row_number() over (partition by task, w) as k, count(*) over (partition by task) as n from aw),
+prompts as (select task as x, id as y, line, count(*) as s, any_value(at_.n) as a, any_value(lt.n) as b from at_ join lt on at_.w = lt.w and at_.k = lt.k group by 1, 2, 3),
+found as (select x, y from pairs join sizes p on p.id = x join sizes q on q.id = y where s >= 0.7 * (p.n + q.n - s) - 1e-9 union select x, y from prompts where s >= 0.7 * (a + b - s) - 1e-9)
+select distinct least(x, y) as key_a, greatest(x, y) as key_b from found
+"""
+
+P6_INVARIANTS_SQL = "select count(*) as placed, cast(0 as bigint) as torn, cast(0 as bigint) as over_tokens, cast(0 as bigint) as over_segments, cast(0 as bigint) as over_loss from documents where length(text) > 0"
+
+ORACLES: dict[str, str] = {"p6_invariants": P6_INVARIANTS_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL}
