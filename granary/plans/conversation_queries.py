@@ -164,6 +164,15 @@ def canonical_json_length(spark, d):
     return one_record(spark, d).filter("messages is not null").select("id", F.sha2(T.canonical_messages(F.col("messages")), 256).alias("json_hash"))
 
 
+def json_text(messages: str) -> str:
+    """SQL for messages as compact JSON with keys in order."""
+    part = lambda f: f"coalesce(cast(to_json(m.{f}) as varchar), 'null')"
+    return f"'[' || array_to_string(list_transform({messages}, lambda m: '{{\"content\":' || {part('content')} || ',\"role\":' || {part('role')} || '}}'), ',') || ']'"
+
+
+JSON_HASHES = f"select id, sha256({json_text('messages')}) as json_hash from {ONE} where rn = 1 and messages is not null"
+
+
 def conversation_prompt_overlap(spark, d):
     said = C.exploded(one_record(spark, d), "id").filter("role = 'user'").select("id", T.leakage_text(F.col("content")).alias("k")).filter("k <> ''")
     asked = table(spark, d, "tutor_tasks").select(F.col("id").alias("task_id"), T.leakage_text(F.col("prompt")).alias("k")).filter("k <> ''")
@@ -216,6 +225,6 @@ ORACLES = {
     "conversation_messages": MESSAGES, "conversation_validation": CONVERSATION_VALIDATION, "invalid_conversations_report": INVALID_REPORT,
     "prompt_completion_pairs": PROMPT_COMPLETION, "supervised_turn_counts": SUPERVISED_TURNS, "role_alternation_lag": ROLE_LAG,
     "history_char_budget": HISTORY_BUDGET, "history_trim_last_n": HISTORY_TRIM, "history_trim_turns": HISTORY_TURNS,
-    "previous_user_prompt": PREVIOUS_USER, "first_user_prompts": FIRST_USER, "canonical_hashes": CANONICAL_HASHES,
+    "previous_user_prompt": PREVIOUS_USER, "first_user_prompts": FIRST_USER, "canonical_hashes": CANONICAL_HASHES, "canonical_json_hashes": JSON_HASHES,
     "conversation_prompt_overlap": PROMPT_OVERLAP, "system_prompt_assembly": SYSTEM_PROMPT, "full_prompts": FULL_PROMPTS,
 }

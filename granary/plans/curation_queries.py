@@ -11,7 +11,7 @@ from granary.operators import conversations as C
 from granary.operators import keyed as K
 from granary.operators.builders import built, with_defaults
 from granary.operators.order import salted_order, with_ordinal
-from granary.plans.conversation_queries import _BLANK, FLAT, ONE, one_record
+from granary.plans.conversation_queries import _BLANK, FLAT, ONE, json_text, one_record
 from granary.plans.document_queries import GROUPING_KEYS, _keyed
 from granary.plans.evaluation_queries import KEY, LAST, latest_rows
 from granary.plans.review_queries import ASSESS, JOBS, assessments, last_jobs
@@ -43,11 +43,6 @@ def baseline_repaired(spark, d):
     return _selection(spark, d, True)
 
 
-def _json(messages: str) -> str:
-    part = lambda c: f"coalesce(cast(to_json(m.{c}) as varchar), 'null')"
-    return f"'[' || array_to_string(list_transform({messages}, lambda m: '{{\"content\":' || {part('content')} || ',\"role\":' || {part('role')} || '}}'), ',') || ']'"
-
-
 _GATE = """case when coalesce(recommendation, '') not in ('accept', 'repair', 'reject') then 'recommendation'
   when coalesce(json_type(doc, '$.scores'), '') <> 'OBJECT' or len(json_keys(doc, '$.scores')) = 0 then 'scores'
   when coalesce(json_type(doc, '$.failure_tags'), '') <> 'ARRAY' then 'failure_tags' when json_extract_string(doc, '$.brief_notes') is null then 'brief_notes'
@@ -59,7 +54,7 @@ def _baseline_sql(chosen: str) -> str:
     return f"""
 with s as (select o.id, a.recommendation = 'repair' as fixed, o.messages as old, cast(json_extract(a.doc, '$.revised_messages') as struct(role varchar, content varchar)[]) as new
   from {ONE} o join {JOBS} j on j.id = o.id join (select *, {_GATE} as error from {ASSESS}) a using (job_id) where o.rn = 1 and a.error is null and a.recommendation in ({chosen})),
-h as (select id, fixed, case when fixed then sha256({_json('old')}) end as original_hash, sha256(case when fixed then {_json('new')} else {_json('old')} end) as conversation_hash from s)
+h as (select id, fixed, case when fixed then sha256({json_text('old')}) end as original_hash, sha256(case when fixed then {json_text('new')} else {json_text('old')} end) as conversation_hash from s)
 select id, case when fixed then 'critic-repaired' else 'critic-accepted' end as review_status, conversation_hash, original_hash, nullif(min(id) over (partition by coalesce(conversation_hash, id)), id) as duplicate_of from h
 """
 

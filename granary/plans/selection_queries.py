@@ -106,6 +106,10 @@ def json_kinds(spark, d):
     return rows.groupBy(kind("$.recommendation").alias("recommendation"), F.substring_index(kind("$.scores"), "<", 1).alias("scores"), F.substring_index(kind("$.revised_messages"), "<", 1).alias("revised")).agg(F.count("*").alias("n"))
 
 
+_KIND = "case json_type(doc, '$.{f}') when 'VARCHAR' then 'STRING' when 'OBJECT' then 'OBJECT' when 'ARRAY' then 'ARRAY' when 'UBIGINT' then 'BIGINT' when 'BIGINT' then 'BIGINT' when 'NULL' then 'VOID' when 'BOOLEAN' then 'BOOLEAN' else json_type(doc, '$.{f}') end"
+JSON_KINDS = f"select {_KIND.format(f='recommendation')} as recommendation, {_KIND.format(f='scores')} as scores, {_KIND.format(f='revised_messages')} as revised, count(*) as n from (select case when json_valid(t) then t end as doc from (select regexp_extract(output_text, '(?s)\\{{.*\\}}', 0) as t from critic_responses)) where doc is not null group by 1, 2, 3"
+
+
 def truncated_notes(spark, d):
     return table(spark, d, "review_rows").select("id", "reviewed_at", F.substring(T.one_line(F.col("reviewer_notes")), 1, 12).alias("note"), T.iso_utc(F.col("reviewed_at")).alias("at"))
 
@@ -128,5 +132,5 @@ QUERIES = {
 ORACLES = {
     "parsed_turns": PARSED_TURNS, "selected_candidates": SELECTED, "prefix_exclusion": PREFIXES, "split_count_mismatch": SPLIT_MISMATCH,
     "first_tasks": FIRST_TASKS, "review_focus_values": FOCUS, "record_tags": RECORD_TAGS, "kept_metrics": KEPT, "id_parts": ID_PARTS,
-    "truncated_notes": TRUNCATED, "request_shape": REQUEST_SHAPE,
+    "json_field_kinds": JSON_KINDS, "truncated_notes": TRUNCATED, "request_shape": REQUEST_SHAPE,
 }

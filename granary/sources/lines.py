@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,8 +52,11 @@ def read_tsv(spark: SparkSession, path: str | list[str], required: list[str], fi
     return rows.filter(~bad), rows.filter(bad)
 
 
-def read_markdown_table(spark: SparkSession, path: str, header: list[str], names: list[str]) -> DataFrame:
-    """(file, line_no, names) of the rows of a Markdown table with exactly the given header; rules and other lines drop."""
+def read_markdown_table(spark: SparkSession, path: str, header: list[str], names: list[str], first: str = "") -> DataFrame:
+    """(file, line_no, names) of the rows of a Markdown table with exactly the given header; rules and other lines drop.
+
+    With first, only rows whose first cell starts with it are read, as task ids start with T.
+    """
     rows = lines(spark, path).filter(F.ltrim("value").startswith("|"))
     inner = F.regexp_replace(strip(F.col("value")), r"^\||\|$", "")
     cells = F.transform(F.split(inner, r"\|"), strip)
@@ -59,7 +64,7 @@ def read_markdown_table(spark: SparkSession, path: str, header: list[str], names
     rows = rows.filter(~F.forall("cells", lambda c: c.rlike("^:?-*:?$")))
     if rows.filter(F.col("cells") == F.array(*[F.lit(h) for h in header])).isEmpty():
         raise ValueError("the table has no such header")
-    rows = rows.filter(F.col("cells") != F.array(*[F.lit(h) for h in header]))
+    rows = rows.filter((F.col("cells") != F.array(*[F.lit(h) for h in header])) & F.get("cells", F.lit(0)).startswith(first))
     return rows.select("file", "line_no", *[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
@@ -75,15 +80,53 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.coalesce("prompt", F.lit("")) != "")
 
 
-def read_specs(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """One row per entry of an array field of a JSON document."""
+def read_specs(spark: SparkSession, path: str, field: str, schema: str, required: list[str] | None = None, counts: list[str] | None = None) -> DataFrame:
+    """One row per entry of an array field of a JSON document.
+
+    An entry without a required value, or with a count that is neither null nor positive, is an error.
+    """
     doc = spark.read.option("multiLine", True).schema(f"{field} array<struct<{schema}>>").json(path)
-    return doc.select(F.explode(field).alias("e")).select("e.*")
+    rows = doc.select(F.explode(field).alias("e")).select("e.*")
+    checks = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", f"no {c}") for c in required or []] + [F.when(F.col(c) <= 0, f"{c} is not positive") for c in counts or []]
+    if checks and (bad := rows.withColumn("why", F.concat_ws(", ", *checks)).filter("why <> ''").limit(5).collect()):
+        raise ValueError("; ".join(r["why"] for r in bad))
+    return rows
+
+
+def read_profile(spark: SparkSession, path: str, kinds: int | None = None) -> dict:
+    """A generation profile, one small YAML or JSON document: target_total must be the sum of target_counts, of which there are `kinds`.
+
+    YAML needs the yaml package, which is looked for only then.
+    """
+    said = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML needs the yaml package") from e
+        profile = yaml.safe_load(said)
+    else:
+        profile = json.loads(said)
+    targets = profile.get("target_counts") if isinstance(profile, dict) else None
+    if not isinstance(targets, dict) or not all(isinstance(n, int) and n > 0 for n in targets.values()):
+        raise ValueError("target_counts must map kinds to positive counts")
+    if kinds is not None and len(targets) != kinds:
+        raise ValueError(f"target_counts has {len(targets)} kinds, not {kinds}")
+    if sum(targets.values()) != profile.get("target_total"):
+        raise ValueError("target_total is not the sum of target_counts")
+    return profile
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256, rows) of the files below a folder; rows counts the filled lines of JSONL files only."""
+    """(file, bytes, sha256, rows) of the files below a folder; rows counts the filled lines of JSONL files only.
+
+    Bytes are hashed a file at a time, in whole files of up to 2 GB; lines are counted by a split text scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.decode("content", "UTF-8")
-    filled = F.size(F.filter(F.split(text, "\n"), lambda x: ~is_blank(x)))
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(F.col("path").endswith(".jsonl"), filled).cast("long").alias("rows"))
+    known = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("at"), "value")
+    counted = text.filter(F.col("at").endswith(".jsonl") & ~is_blank(F.col("value"))).groupBy("at").agg(F.count("*").alias("n"))
+    # the two readers spell the same place with one slash after the scheme and with three
+    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    both = known.withColumn("p", place(F.col("file"))).join(counted.select(place(F.url_decode("at")).alias("p"), "n"), "p", "left").drop("p")
+    return both.select("file", "bytes", "sha256", F.when(F.col("file").endswith(".jsonl"), F.coalesce("n", F.lit(0))).alias("rows"))

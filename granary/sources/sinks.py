@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import json
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import one_line, table_cell
+from granary.functions.text import html_escape, one_line, table_cell
 from granary.operators.order import with_ordinal
 
 
@@ -66,3 +68,46 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
         raise ValueError(f"a report of more than {most} rows")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
+
+
+def report(title: str, sections: dict[str, DataFrame | str], most: int = 200) -> str:
+    """A Markdown report: a title, and under each heading a text or the table of an aggregate."""
+    parts = [f"# {title}"]
+    for heading, body in sections.items():
+        parts.append(f"## {heading}\n\n" + (body if isinstance(body, str) else markdown_table(body, most)).rstrip())
+    return "\n\n".join(parts) + "\n"
+
+
+def side_by_side(df: DataFrame, key: str, left: str, right: str, title: str, most: int = 2_000) -> str:
+    """An HTML page of two texts for each key, all of it escaped; more than `most` rows are an error."""
+    rows = df.select(*[html_escape(F.coalesce(F.col(c).cast("string"), F.lit("(missing)"))).alias(n) for c, n in ((key, "k"), (left, "l"), (right, "r"))]).orderBy("k").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a page of more than {most} rows")
+    body = "".join(f"<tr><th>{r['k']}</th><td><pre>{r['l']}</pre></td><td><pre>{r['r']}</pre></td></tr>" for r in rows)
+    name = html.escape(title)
+    return f"<!doctype html><meta charset=utf-8><title>{name}</title><h1>{name}</h1><table><tr><th></th><th>{html.escape(left)}</th><th>{html.escape(right)}</th></tr>{body}</table>\n"
+
+
+def write_archive(paths: dict[str, str], target: str) -> None:
+    """A deflated archive on the driver of small local files by member name, in the order given and with one fixed time."""
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, path in paths.items():
+            member = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            member.compress_type = zipfile.ZIP_DEFLATED
+            with open(path, "rb") as f:
+                out.writestr(member, f.read())
+
+
+def batch_index(batches: DataFrame, key: str = "batch", shard: str = "shard") -> DataFrame:
+    """(batch, rows, shards) of a table of rows with their batch and shard."""
+    return batches.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(shard).alias("shards"))
+
+
+def stage_batches(batches: DataFrame, path: str, key: str = "batch", shard: str = "shard") -> str:
+    """Rows written anew by batch and shard; returns the reviewers' instructions, which list each batch and its shards."""
+    batches.write.mode("overwrite").partitionBy(key, shard).json(path)
+    rows = batch_index(batches, key, shard).orderBy(key).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("instructions for more than 10000 batches")
+    lines = [f"- `{key}={r[key]}`: {r['rows']} rows in {r['shards']} shards" for r in rows]
+    return "# Batches to review\n\n" + "\n".join(lines) + "\n"
