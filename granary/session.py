@@ -76,15 +76,21 @@ def spread(df: DataFrame, *cols: str, per_core: int = 3) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder, removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a parquet table in the shared checkpoint folder: a cut of the lineage that keeps columns apart.
 
     The table is compressed, can be read in part and outlives any executor; it is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.parquet(path)
 
 
