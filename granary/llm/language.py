@@ -18,7 +18,8 @@ from granary.llm.ppm import PpmModels, folded
 from granary.llm.sampling import bounded_sample
 from granary.llm.seeds import LABELS, NO_LABEL, SEED_TEXTS, SEED_WORDS
 from granary.functions.frames import emit
-from granary.session import spread
+from granary.operators.keyed import first_delivery
+from granary.session import enough_tasks
 
 #: Bound of the training sample: texts taken, in the order of a hash of their content, and bytes for each language.
 SAMPLE_TEXTS = 4_000
@@ -166,9 +167,9 @@ def label_language(c: Column) -> Column:
 
 def user_messages(requests: DataFrame) -> DataFrame:
     """(request_id, language, message_no, content) of every user message; a request received twice counts once."""
-    rows = spread(requests.filter(F.col("request_id").isNotNull()).select("request_id", "language", "messages", "received_at"), "request_id")
-    once = rows.groupBy("request_id").agg(F.min_by(F.struct("language", "messages"), F.struct(F.col("received_at").isNull(), "received_at", F.xxhash64("messages"))).alias("r"))
-    flat = once.select("request_id", F.col("r.language").alias("language"), F.posexplode("r.messages").alias("message_no", "m"))
+    rows = requests.filter(F.col("request_id").isNotNull()).select("request_id", "language", "messages", "received_at")
+    once = first_delivery(rows, "request_id", [F.col("received_at").isNull(), F.col("received_at"), F.xxhash64("messages")])
+    flat = enough_tasks(once).select("request_id", "language", F.posexplode("messages").alias("message_no", "m"))
     return flat.filter(F.col("m.role") == "user").select("request_id", "language", F.col("message_no").cast("long").alias("message_no"), F.col("m.content").alias("content"))
 
 
