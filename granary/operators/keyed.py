@@ -63,8 +63,15 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, content: Column, key: str) -> DataFrame:
-    """Each row with duplicate_of: the smallest key with the same content, null for that row itself and null content."""
+    """Each row with duplicate_of: the smallest key with the same content, null for that row itself and null content.
+
+    Only contents that several rows have are joined back, by a broadcast where they are few; rows without content take
+    no part in the join, so that they meet in no task.
+    """
     tagged = df.withColumn("__c", content)
-    first = tagged.filter(F.col("__c").isNotNull()).groupBy("__c").agg(F.min(key).alias("__first"))
-    out = tagged.join(first, "__c", "left")
-    return out.withColumn("duplicate_of", F.when(F.col(key) != F.col("__first"), F.col("__first"))).drop("__c", "__first")
+    held = tagged.filter(F.col("__c").isNotNull())
+    several = written(held.groupBy("__c").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
+    several = F.broadcast(several) if several.count() <= SMALL else several
+    found = held.join(several, "__c", "left").withColumn("duplicate_of", F.when(F.col(key) != F.col("__first"), F.col("__first"))).drop("__first")
+    out = found.unionByName(tagged.filter(F.col("__c").isNull()).withColumn("duplicate_of", F.lit(None).cast(df.schema[key].dataType)))
+    return out.drop("__c")
