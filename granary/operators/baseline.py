@@ -50,11 +50,15 @@ def with_duplicates(rows: DataFrame) -> DataFrame:
     return K.keep_first(rows, F.col("conversation_hash"), "id")
 
 
-def group_keys(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(id, field, key): known grouping keys, and the normal forms of each user and each assistant message."""
-    said = rows.select("id", F.inline(F.transform("messages", lambda m: F.struct(m["role"].alias("field"), T.leakage_text(m["content"]).alias("key")))))
-    said = said.filter("field in ('user', 'assistant') and key <> ''").withColumn("key", F.sha2("key", 256))
-    return keyed.unionByName(said)
+def message_keys(messages: Column) -> Column:
+    """array<struct<field, key>>: hashes of the normal forms of each user and each assistant message that has words."""
+    said = F.filter(messages, lambda m: m["role"].isin("user", "assistant") & (F.coalesce(T.leakage_text(m["content"]), F.lit("")) != ""))
+    return F.transform(said, lambda m: F.struct(m["role"].alias("field"), F.sha2(T.leakage_text(m["content"]), 256).alias("key")))
+
+
+def group_keys(rows: DataFrame, keyed: DataFrame, said: str = "said") -> DataFrame:
+    """(id, field, key): known grouping keys, and the message keys of a column."""
+    return keyed.unionByName(rows.select("id", F.inline(said)))
 
 
 def split_groups(rows: DataFrame, keys: DataFrame, share: float, seed: str) -> DataFrame:

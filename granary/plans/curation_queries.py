@@ -15,7 +15,7 @@ from granary.plans.conversation_queries import _BLANK, FLAT, ONE, json_text, one
 from granary.plans.document_queries import GROUPING_KEYS, _keyed
 from granary.plans.evaluation_queries import KEY, LAST, latest_rows
 from granary.plans.review_queries import ASSESS, JOBS, assessments, last_jobs
-from granary.session import table
+from granary.session import table, written
 
 SHARE, SEED = 0.9, "baseline"
 
@@ -62,21 +62,32 @@ select id, case when fixed then 'critic-repaired' else 'critic-accepted' end as
 BASELINE_ACCEPTED, BASELINE_REPAIRED = _baseline_sql("'accept'"), _baseline_sql("'accept', 'repair'")
 
 
+def _slim(spark, d, repaired):
+    """The selected drafts with hashes in the messages' place, written: conversations move once, and no further."""
+    rows = B.selected(drafts(spark, d), last_jobs(spark, d), assessments(spark, d), repaired)
+    return written(rows.select("id", "review_status", "task_family", "conversation_hash", *GROUPING_KEYS, B.message_keys(F.col("messages")).alias("said")))
+
+
+def _split(slim):
+    rows = B.with_duplicates(slim).filter("duplicate_of is null")
+    return B.split_groups(rows.select("id", "review_status", "task_family"), B.group_keys(rows, _keyed(rows)), SHARE, SEED)
+
+
 def baseline_records(spark, d, repaired=True):
     """The whole plan: (id, review_status, task_family, group_id, split) of selected drafts, duplicates dropped, whole groups split."""
-    rows = baseline_rows(spark, d, repaired).filter("duplicate_of is null")
-    return B.split_groups(rows, B.group_keys(rows, _keyed(rows)), SHARE, SEED).select("id", "review_status", "task_family", "group_id", "split")
+    return _split(_slim(spark, d, repaired)).select("id", "review_status", "task_family", "group_id", "split")
 
 
 def baseline_report(spark, d):
     """(metric, n): drafts, recommendations, selected rows, dropped duplicates, groups, rows of each split."""
-    rows = baseline_records(spark, d)
+    slim = _slim(spark, d, True)
+    rows = written(_split(slim))
     of = lambda name, df: df.select(F.lit(name).alias("metric"), F.col("n"))
     one = lambda name, df: of(name, df.agg(F.count("*").alias("n")))
     by = lambda df, c: df.groupBy(F.coalesce(c, F.lit("none")).alias("metric")).agg(F.count("*").alias("n"))
     out = one("drafts", one_record(spark, d)).unionByName(by(assessments(spark, d), "recommendation")).unionByName(by(rows, "split"))
     out = out.unionByName(one("selected", rows)).unionByName(one("groups", rows.select("group_id").distinct()))
-    return out.unionByName(one("dropped duplicates", baseline_rows(spark, d, True).filter("duplicate_of is not null")))
+    return out.unionByName(one("dropped duplicates", B.with_duplicates(slim).filter("duplicate_of is not null")))
 
 
 def assessment_gates(spark, d):
