@@ -8,8 +8,6 @@ occurs in training can be computed once, for all languages together; scoring is
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 
 ORDER = 5
@@ -32,55 +30,28 @@ class PpmModels:
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.langs = sorted(texts)
         self.order = order
-        trees = [_counts(b"\n".join(folded(t) for t in texts[lang]), order) for lang in self.langs]
         self.tables = []
         self.uniform = 8.0
-        costs = [dict() for _ in trees]
+        said = [np.frombuffer(b"\n".join(folded(t) for t in texts[lang]), np.uint8).astype(np.uint64) for lang in self.langs]
+        known, low_rows = None, None
         for d in range(order + 1):
-            grams = sorted(set().union(*[t[d].keys() for t in trees]))
-            rows = np.empty((len(grams), len(trees)), np.float32)
-            for k, tree in enumerate(trees):
-                follow, total, kinds, known = tree[d], tree[-2][d], tree[-1][d], costs[k]
-                here = {}
-                for n, g in enumerate(grams):
-                    ctx = g[:-1]
-                    seen = total.get(ctx, 0)
-                    if not seen:
-                        c = known.get(g[1:], self.uniform if d == 0 else None) if d else self.uniform
-                        if c is None:
-                            c = self._below(tree, g[1:])
-                    else:
-                        q, times = kinds[ctx], follow.get(g, 0)
-                        if times:
-                            c = -np.log2(times / (seen + q))
-                        else:
-                            low = self.uniform if d == 0 else known.get(g[1:])
-                            if low is None:
-                                low = self._below(tree, g[1:])
-                            c = -np.log2(q / (seen + q)) + low
-                    here[g] = c
-                    rows[n, k] = c
-                costs[k] = here
-            contexts = sorted(set().union(*[t[-2][d].keys() for t in trees]))
-            esc = np.zeros((len(contexts), len(trees)), np.float32)
-            for k, tree in enumerate(trees):
-                for n, ctx in enumerate(contexts):
-                    if seen := tree[-2][d].get(ctx, 0):
-                        q = tree[-1][d][ctx]
-                        esc[n, k] = -np.log2(q / (seen + q))
-            self.tables.append((_Table(grams, rows), _Table(contexts, esc)))
-
-    def _below(self, tree: list, gram: bytes) -> float:
-        cost = 0.0
-        while gram:
-            d, ctx = len(gram) - 1, gram[:-1]
-            if seen := tree[-2][d].get(ctx, 0):
-                q = tree[-1][d][ctx]
-                if times := tree[d].get(gram, 0):
-                    return cost - float(np.log2(times / (seen + q)))
-                cost -= float(np.log2(q / (seen + q)))
-            gram = gram[1:]
-        return cost + self.uniform
+            trees = [_counts(x, d) for x in said]
+            grams = np.unique(np.concatenate([t[0] for t in trees]))
+            contexts = np.unique(grams >> np.uint64(8))
+            rows, escapes = np.empty((len(grams), len(trees)), np.float32), np.zeros((len(contexts), len(trees)), np.float32)
+            if d:  # the cost in the context that is a byte shorter: what follows is known there, as it is part of the gram
+                low = low_rows[np.searchsorted(known, grams & np.uint64((1 << 8 * d) - 1))]
+            for k, (keys, times, ctx, seen, kinds) in enumerate(trees):
+                n, q = _look(ctx, contexts, seen), _look(ctx, contexts, kinds)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(n > 0, -np.log2(q / (n + q)), 0.0)
+                    at = np.searchsorted(contexts, grams >> np.uint64(8))
+                    met = _look(keys, grams, times)
+                    below = low[:, k] if d else self.uniform
+                    cost = np.where(met > 0, -np.log2(met / (n[at] + q[at])), escape[at] + below)
+                rows[:, k], escapes[:, k] = cost, escape
+            self.tables.append((_Table(grams, d + 1, rows), _Table(contexts, d, escapes)))
+            known, low_rows = grams, rows.astype(np.float64)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text (as folded gives it) in each language."""
@@ -134,11 +105,11 @@ class PpmModels:
 
 
 class _Table:
-    """Rows by byte string, in an open table of 64-bit keys."""
+    """Rows by byte string of one length, in an open table of 64-bit keys."""
 
-    def __init__(self, grams: list[bytes], rows: np.ndarray):
+    def __init__(self, grams: np.ndarray, length: int, rows: np.ndarray):
         self.rows = rows
-        keys = np.array([int.from_bytes(bytes([len(g)]) + g, "big") for g in grams], np.uint64)
+        keys = grams | np.uint64(length << 8 * length)
         size = 1 << max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.shift = np.uint64(64 - int(np.log2(size)))
         self.mask = size - 1
@@ -172,15 +143,20 @@ class _Table:
         return found, self.row[p]
 
 
-def _counts(data: bytes, order: int) -> list:
-    """Counts of n-grams of 1 to order + 1 bytes, then by context length the occurrences and distinct followers."""
-    grams = [Counter(data[n : n + d + 1] for n in range(len(data) - d)) for d in range(order + 1)]
-    total, kinds = [], []
-    for d in range(order + 1):
-        t, k = Counter(), Counter()
-        for g, n in grams[d].items():
-            t[g[:-1]] += n
-            k[g[:-1]] += 1
-        total.append(t)
-        kinds.append(k)
-    return [*grams, total, kinds]
+def _counts(data: np.ndarray, d: int) -> tuple[np.ndarray, ...]:
+    """Of the n-grams of d + 1 bytes: (grams, times, contexts, occurrences of each context, its distinct followers), all in order."""
+    n = max(0, len(data) - d)
+    grams = np.zeros(n, np.uint64)
+    for j in range(d + 1):
+        grams = grams << np.uint64(8) | data[j : j + n]
+    keys, times = np.unique(grams, return_counts=True)
+    ctx, first, kinds = np.unique(keys >> np.uint64(8), return_index=True, return_counts=True)
+    return keys, times, ctx, np.add.reduceat(times, first) if len(first) else times, kinds
+
+
+def _look(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where it is not among the keys, which are in order."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.float64)
