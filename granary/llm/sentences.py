@@ -4,10 +4,13 @@ Blank lines, list markers and speaker labels are certain boundaries and cut a te
 characters after which a sentence may end, those within quotations and brackets too, are tagged boundary or inside by a
 linear-chain field over what stands around them: the mark, the token before, the case of what follows, the spacing, the
 script, and the quotations and brackets that are open. The field is trained on paragraphs whose boundaries are certain
-because they are put together from whole sentences: blocks of the sample that hold one sentence, and the texts below, in
-which bars stand for boundaries. Stretches of scripts without case that hold no mark are tagged character by character by
-a second field, trained on the same sentences stripped of their marks; it cuts where that scores better than leaving the
-stretch whole by more than it does on whole sentences.
+because they are put together from whole sentences: every block of the table that holds one sentence, and the texts
+below, in which bars stand for boundaries. Stretches of scripts without case that hold no mark are tagged character by
+character by a second field, trained on all sentences of the table in such scripts, stripped of their marks; it cuts
+where that scores better than leaving the stretch whole by more than it does on whole sentences.
+
+Nothing is learned from a sample: the tasks count, put together and score what they read, only sums reach the driver, and
+each script weighs alike however many sentences it has.
 """
 
 from __future__ import annotations
@@ -15,7 +18,12 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+import zlib
+from ast import literal_eval
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -23,16 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.frames import emit
+from granary.llm import chain
 from granary.llm.crf import Crf
 from granary.llm.sampling import bounded_sample
-from granary.session import enough_tasks
+from granary.session import enough_tasks, written
 
-#: Bound of the training sample: documents, in the order of a hash of their text.
+#: Bound of sample_documents, by which texts are taken for trials on one machine; no query learns from it.
 SAMPLE_DOCS = 1_500
-#: Paragraphs put together to train the field of marks, and groups of sentences to train that of characters.
-PARAGRAPHS, UNMARKED = 5_000, 300
-#: Share of whole sentences of the sample that the field of characters may cut.
-CUT_WHOLE = 0.0005
+#: Whole sentences of a script that are put together at least, those of a small table several times; and the same for the field of characters.
+AT_LEAST, UNMARKED = 6_000, 300
+#: What all scripts together weigh in training, each the same, and the part of that which the texts below have.
+WEIGHT, SEED_SHARE = 5_000.0, 0.05
+#: Weights of the field of characters: what stands around a character is told by a hash of so many bits.
+SLOT_BITS = 20
+#: Strength of the pull to zero of each field, what the scripts' characters weigh together, and the most steps of training.
+MARKS_L2, CHARS_L2, CHARS_WEIGHT, MARKS_STEPS, CHARS_STEPS = 0.1, 0.2, 300.0, 60, 25
+#: Bytes of training sequences up to which the driver sums over them, in place of tasks.
+HELD = 1 << 21
+#: Share of the whole sentences that the field of characters may cut, and the steps in which its margin is told.
+CUT_WHOLE, MARGIN = 0.0005, 1 / 1024
 
 # Abbreviations by what may follow them, without their last dot, in lower case.
 TITLES = frozenset("mr mrs ms dr prof bw bi dkt m mm mme mlle mgr me sr st ste hon rev gen col capt lt sgt pst mwl mh jr".split())
@@ -255,11 +272,13 @@ class Segmenter:
                 cuts.append(candidates(text, a, b, self.learned))
         tags = self.crf.tag_ids([self.numbers(key) for cut in cuts for _, key in cut], [len(cut) for cut in cuts])
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for (k, a, b), cut, tag in zip(where, cuts, tags):
+        marked = []
+        for cut, tag in zip(cuts, tags):
+            marked.append([e for (e, _), x in zip(cut, tag) if x == "end"])
+        if self.chars is not None:
+            self._with_unmarked(texts, where, marked)
+        for (k, a, b), ends in zip(where, marked):
             text, at = texts[k], a
-            ends = [e for (e, _), x in zip(cut, tag) if x == "end"]
-            if self.chars is not None:
-                ends = self._with_unmarked(text, a, b, ends)
             for e in [*ends, b]:
                 x, y = at, e
                 while x < y and text[x].isspace():
@@ -271,23 +290,23 @@ class Segmenter:
                 at = e
         return out
 
-    def _with_unmarked(self, text: str, a: int, b: int, ends: list[int]) -> list[int]:
-        """The ends with those in stretches without an end, where a script has no case."""
-        if not _CASELESS.search(text, a, b):
-            return ends
-        start, _ = _body(text, a, b)
-        more = [x + k for x, y in zip([start, *ends], [*ends, b]) if x < y and _CASELESS.search(text, x, y) for k in self.unmarked(text[x:y])]
-        return sorted({*ends, *more}) if more else ends
-
-    def unmarked(self, stretch: str) -> list[int]:
-        """Where a stretch is cut without a mark, if that scores better than leaving it whole by more than the least margin."""
-        at, said = _stripped(stretch)
-        if sum(map(_caseless, said)) < 0.8 * sum(map(str.isalpha, said)):
-            return []
-        cuts, gain = self.chars.cuts(said)
-        # between letters alone: a mark that is no sentence's end stands for no cut either
-        plain = lambda k: all(c.isalnum() or c.isspace() for c in stretch[max(0, k - 2) : k + 2])
-        return [at[k] for k in cuts if plain(at[k])] if gain > self.least else []
+    def _with_unmarked(self, texts: list[str | None], where: list[tuple[int, int, int]], marked: list[list[int]]) -> None:
+        """Adds the ends in stretches without an end, where a script has no case; all stretches are scored together."""
+        found = []
+        for n, (k, a, b) in enumerate(where):
+            if not _CASELESS.search(texts[k], a, b):
+                continue
+            start, _ = _body(texts[k], a, b)
+            for x, y in zip([start, *marked[n]], [*marked[n], b]):
+                if x < y and _CASELESS.search(texts[k], x, y):
+                    at, said = _stripped(texts[k][x:y])
+                    if _mostly_caseless(said):
+                        found.append((n, x, texts[k][x:y], at, said))
+        for (n, x, stretch, at, _), (cuts, gain) in zip(found, self.chars.cuts_all([f[-1] for f in found])):
+            if gain > self.least:
+                # between letters alone: a mark that is no sentence's end stands for no cut either
+                more = [x + at[k] for k in cuts if all(c.isalnum() or c.isspace() for c in stretch[max(0, at[k] - 2) : at[k] + 2])]
+                marked[n] = sorted({*marked[n], *more})
 
 
 def _stripped(stretch: str) -> tuple[list[int], str]:
@@ -300,49 +319,59 @@ def _caseless(c: str) -> bool:
     return c > "\u0590" and c.isalpha() and not _has_case(c)
 
 
+def _mostly_caseless(said: str) -> bool:
+    return sum(map(_caseless, said)) >= 0.8 * sum(map(str.isalpha, said))
+
+
 class CharField:
     """The field of characters: tags in and end over stripped text, from the characters around each place."""
 
-    def __init__(self, said: list[list[str]]):
-        """Trained on groups of whole sentences, given as lists."""
-        rows = []
-        for group in said:
-            gap = " " if any(" " in x for x in group) else ""
-            tags = [t for x in group for t in ["in"] * (len(x) - 1) + ["end"] + ["in"] * len(gap)]
-            rows.append(([list(k) for k in self.keys(gap.join(group) + gap).tolist()], tags))
-        crf = Crf(["in", "end"]).fit(rows, epochs=3)
-        self.known = np.array(sorted(crf.index), np.uint64)
-        self.w = np.vstack([crf.w[[crf.index[int(k)] for k in self.known]], np.zeros((1, 2))])
-        self.crf = crf
+    def __init__(self, w: np.ndarray, t: np.ndarray):
+        self.w, self.t = w, t
 
     @staticmethod
-    def keys(text: str) -> np.ndarray:
-        """For each character numbers that tell the characters before and after it."""
-        c = np.zeros(len(text) + 6, np.uint64)
-        c[3:-3] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    def keys(c: np.ndarray) -> np.ndarray:
+        """For each code point numbers that tell those before and after it."""
+        c = np.concatenate([np.zeros(3, np.uint64), c, np.zeros(3, np.uint64)]).astype(np.uint64)
         p = [c[3 + k : len(c) - 3 + k] * np.uint64(2 * k + 0x9E3779B97F4A7C1D) for k in (-2, -1, 0, 1, 2, 3)]
         p = [x ^ (x >> np.uint64(29)) for x in p]
         parts = ((2,), (3,), (2, 3), (1, 2), (0, 1, 2), (3, 4), (3, 4, 5), (1, 2, 3))
         out = [sum(p[k] for k in ks) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n) for n, ks in enumerate(parts)]
-        return np.stack([*out, np.full(len(text), 1, np.uint64)], 1)
-
-    def scores(self, text: str) -> np.ndarray:
-        k = self.keys(text)
-        at = np.minimum(np.searchsorted(self.known, k), len(self.known) - 1)
-        return self.w[np.where(self.known[at] == k, at, len(self.known))].sum(axis=1)
-
-    def cuts(self, text: str) -> tuple[list[int], float]:
-        """Where a text is best cut, and what each cut adds to the score of the whole on average."""
-        if len(text) < 2:
-            return [], 0.0
-        scores, t = self.scores(text), self.crf.t
-        tags = np.array([*self.crf.viterbi(scores)[:-1], 1])
-        whole = np.zeros(len(text), np.int64)
-        whole[-1] = 1
-        at = np.arange(len(text))
-        score = lambda p: float(scores[at, p].sum() + t[p[:-1], p[1:]].sum())
-        cuts = (np.flatnonzero(tags[:-1]) + 1).tolist()
-        return cuts, (score(tags) - score(whole)) / max(1, len(cuts))
+        return np.stack([*out, np.full(len(c) - 6, 1, np.uint64)], 1)
+
+    @classmethod
+    def slots(cls, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as code points, with bars after their ends: the numbers of the weights of each character, a row each; which end; and lengths."""
+        # three zeros between: as far as is read beyond a character
+        c = np.frombuffer((b"\0" * 12).join(texts), np.uint32)
+        bar = c == ord("|")
+        tags, of = np.append(bar[1:], False)[~bar], np.repeat(np.arange(len(texts)), [len(x) // 4 + 3 for x in texts])[: len(c)][~bar]
+        c = c[~bar]
+        own = c != 0
+        slots = (cls.keys(c)[own] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        return slots.astype(np.int64), tags[own].astype(np.int64), np.bincount(of[own], minlength=len(texts))
+
+    def cuts_all(self, texts: list[str]) -> list[tuple[list[int], float]]:
+        """Where each text is best cut, and what each cut adds to the score of the whole on average."""
+        out: list[tuple[list[int], float]] = []
+        for part in batched(texts, 2_000):
+            sizes = np.array([len(x) for x in part])
+            if not sizes.sum():
+                out += [([], 0.0)] * len(part)
+                continue
+            d = self.w[self.slots([x.encode("utf-32-le") for x in part])[0]].sum(axis=1, dtype=np.float64)
+            tags = chain.best(d, sizes, self.t)
+            t = self.t
+            for a, n in zip(np.cumsum(sizes) - sizes, sizes):
+                cuts = (np.flatnonzero(tags[a : a + n - 1]) + 1).tolist() if n > 1 else []
+                gain = 0.0
+                if cuts:
+                    p = tags[a : a + n].copy()
+                    p[-1] = 1
+                    whole = (n - 2) * t[0, 0] + t[0, 1]
+                    gain = float((d[a : a + n - 1] * p[:-1]).sum() + t[p[:-1], p[1:]].sum() - whole) / len(cuts)
+                out.append((cuts, gain))
+        return out
 
 
 # Texts of several scripts and layouts with a bar at each boundary, so that a small sample lacks none of them.
@@ -360,15 +389,30 @@ SEED_TEXTS = (
 _CASELESS = re.compile(r"[\u0590-\u08ff\u0900-\u0dff\u0e00-\u0fff\u1200-\u137f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{2}")
 
 
+def _ways(ends: Counter) -> tuple[str, str]:
+    """What stands between a script's sentences and which mark mostly ends them, by how many have which last mark and a blank."""
+    spaced = sum(n for (_, blank), n in ends.items() if blank)
+    stops = Counter()
+    for (mark, _), n in ends.items():
+        stops[mark] += n * (mark not in "!?！？؟")
+    stop = max(sorted(stops), key=stops.get) if stops.total() else "."
+    return " " if spaced > 0.5 * ends.total() else "", stop
+
+
 class Composer:
-    """Paragraphs with a bar at each boundary, put together from the whole sentences of one script."""
+    """Paragraphs with a bar at each boundary, put together from the whole sentences of one script.
+
+    How the script is written is told by the given sentences, unless the ways of all are known. Each of the sentences of a
+    queue is taken once, before others are drawn.
+    """
 
-    def __init__(self, said: list[str], rnd: random.Random):
+    def __init__(self, said: list[str], rnd: random.Random, ways: tuple[str, str] | None = None, rounds: int = 0):
         self.said, self.rnd = said, rnd
-        self.space = " " if sum(" " in x for x in said) > 0.5 * len(said) else ""
+        self.queue = said * rounds
+        rnd.shuffle(self.queue)
+        self.space, self.stop = ways or _ways(Counter((x[-1], " " in x) for x in said))
         letter = next((c for x in said for c in x if c.isalpha()), "a")
         self.cased = _has_case(letter)
-        self.stop = max(sorted(stops), key=stops.count) if (stops := [x[-1] for x in said if x[-1] not in "!?！？؟"]) else "."
         wide = self.stop in "。｡"
         self.ask, self.shout = ("？", "！") if wide else ("؟", "!") if _script(letter) == "ARABIC" else ("?", "!")
         self.quotes = ["“”", "「」", "『』"] if wide else ["\"\"", "“”", "«»"]
@@ -376,7 +420,7 @@ class Composer:
         self.names = [w for x in said[:500] for w in x.split()[1:] if w[:1].isupper() and w.isalpha()] or ["Keza"]
 
     def body(self) -> str:
-        x = self.rnd.choice(self.said)
+        x = self.queue.pop() if self.queue else self.rnd.choice(self.said)
         return x.rstrip(_STOPS + " ")
 
     def lower(self, x: str) -> str:
@@ -419,6 +463,8 @@ class Composer:
         if kind == 6 and self.cased:
             return self.body() + self.dots() + "|" + s + self.body() + self.mark() + "|"
         if kind == 7:
+            if r.random() < 0.3:
+                return f"{a}{s}{r.randrange(1, 200)}{self.mark()}|"
             number = f"{r.randrange(90)}{r.choice(['.', '.', ',', ':'])}{r.randrange(10, 99)}"
             return f"{a}{s}{number}{s}{b}{self.mark()}|"
         if kind == 8:
@@ -510,16 +556,25 @@ def _marked(text: str, learned: frozenset) -> list[tuple[list[tuple], list[str]]
     return out
 
 
-def _short_tokens(texts: list[str]) -> frozenset:
-    """Abbreviations of the sample: short tokens of any script that mostly have a dot, and are mostly followed by a lower letter or digit where the script has case."""
-    after, total, whole = Counter(), Counter(), Counter()
-    for t in texts:
-        for m in re.finditer(r"(?<![\w.])([^\W\d_][\w.'’-]{0,6})\.(?=[  ]+(\S))", t):
-            w = m[1].casefold()
-            total[w] += 1
+def _count_tokens(text: str, dotted: Counter, after: Counter, last: Counter, whole: Counter) -> None:
+    """Short tokens with a dot and a word behind, those where that goes on in lower case, those that end a line, and those without a dot."""
+    for m in _SHORT.finditer(text):
+        w = m[1].casefold()
+        if m[2]:
+            dotted[w] += 1
             after[w] += m[2].islower() or m[2].isdigit() or not _has_case(m[2])
-        whole.update(w.casefold() for w in re.findall(r"[^\W\d_]+(?![\w.])", t))
-    return frozenset(w for w, n in total.items() if n >= 5 and after[w] >= 0.8 * n and n >= 3 * whole[w] and len(w) <= 5)
+        else:
+            last[w] += 1
+    whole.update(_BARE.findall(text.casefold()))
+
+
+def _is_learned(w: str, dotted: int, after: int, last: int, whole: int) -> bool:
+    """An abbreviation of the table: a short token of any script that mostly has a dot, and is mostly followed by a lower letter or digit where the script has case; where it has none, one that hardly ever ends a line."""
+    return len(w) <= 5 and dotted >= 5 and after >= 0.8 * dotted and dotted >= 3 * whole and (any(map(_has_case, w)) or 10 * last <= dotted)
+
+
+_SHORT = re.compile(r"(?<![\w.])([^\W\d_][\w.'’-]{0,6})\.(?:(?=[  ]+(\S))|(?=\s*(?:[\n\r]|\Z)))")
+_BARE = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,5}(?![\w.])")
 
 
 def whole_sentences(texts: list[str]) -> dict[str, list[str]]:
@@ -528,43 +583,281 @@ def whole_sentences(texts: list[str]) -> dict[str, list[str]]:
     for t in texts:
         for a, b in blocks(t):
             x = t[_body(t, a, b)[0] : b].strip()
-            marks = list(_MARKS.finditer(x))
-            if len(marks) == 1 and marks[0].end() == len(x) and len(marks[0][0]) == 1 and 8 < len(x) < 300 and x[0].isalnum() and "\n" not in x and marks[0][0] != "…":
+            if not (8 < len(x) < 300 and x[-1] in _STOPS and x[-1] != "…" and x[0].isalnum() and "\n" not in x):
+                continue
+            mark = _MARKS.search(x)
+            if mark and mark.end() == len(x) and len(mark[0]) == 1:
                 whole.setdefault(_group(x), []).append(x)
     return whole
 
 
-def fit(texts: list[str], seed: int = 5) -> Segmenter:
-    """Train both fields on a sample of texts; the same sample gives the same fields."""
-    rnd = random.Random(seed)
-    learned = _short_tokens([*texts, *[x.replace("|", "") for x in SEED_TEXTS]])
-    whole = whole_sentences(texts)
-    for t in SEED_TEXTS:
-        for x in (y.strip() for y in t.split("|")):
-            if len(list(_MARKS.finditer(x))) == 1 and x[-1] in _STOPS:
-                whole.setdefault(_group(x), []).extend([x] * 3)
-    data = [x for t in SEED_TEXTS * 20 for x in _marked(t, learned)]
-    composers = [Composer(said, rnd) for _, said in sorted(whole.items()) if len(said) >= 4]
-    for k in range(PARAGRAPHS if composers else 0):
-        data += _marked(composers[k % len(composers)].paragraph(rnd.choice(composers)), learned)
-    rnd.shuffle(data)
-    names: dict[tuple, list[str]] = {}
-    crf = Crf(["in", "end"]).fit([([names.setdefault(k, named(k)) for k in keys], tags) for keys, tags in data], epochs=3)
+class _Rows:
+    """Rows held here and rows of a table; jobs run over both, and only what they sum up to comes back."""
+
+    def __init__(self, here: list[tuple], there: DataFrame | None = None):
+        self.here, self.there = here, there
+
+    def _of(self, job: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches):
+            rows = (r for b in batches for r in b.itertuples(index=False, name=None))
+            for part in batched(job(rows), 5_000):
+                yield from emit(pd.DataFrame(part, columns=names))
+
+        return self.there.mapInPandas(run, schema)
+
+    def run(self, job: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str) -> _Rows:
+        return _Rows(list(job(self.here)), None if self.there is None else written(self._of(job, schema)))
+
+    def held(self) -> _Rows:
+        """The same sequences, all of them here where they are few: their sums are whole numbers, the same wherever they are added."""
+        if self.there is None or (self.there.agg(F.sum(F.length("seq"))).first()[0] or 0) > HELD:
+            return self
+        return _Rows(self.here + [tuple(r) for r in self.there.filter("seq is not null").orderBy("grp", "seq").collect()])
+
+    def totals(self, job: Callable[[Iterable[tuple]], Iterable[tuple]], key: str = "string") -> Counter:
+        """What a job's (key, number) rows add up to."""
+        out = Counter()
+        for k, v in job(self.here):
+            out[k] += v
+        if self.there is not None:
+            added = self._of(job, f"k {key}, v long").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+            for k, v in zip(added["k"].tolist(), added["v"].tolist()):
+                out[k] += v
+        return out
+
+
+_READ = "name string, dotted long, after long, last long, bare long, grp string, said array<string>"
+_MADE = "grp string, seq binary, name string"
+_SAID = "grp string, said array<string>"
+
+
+def _read(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Of each text its certain sentences by script; of all texts the counts of short tokens."""
+    counts = [Counter() for _ in range(4)]
+    for (text,) in rows:
+        _count_tokens(text, *counts)
+        for group, said in sorted(whole_sentences([text]).items()):
+            yield None, 0, 0, 0, 0, group, said
+    for w in sorted(set().union(*counts)):
+        if len(w) <= 5:
+            yield w, *(c[w] for c in counts), None, None
+
+
+def _learned(read: _Rows) -> frozenset:
+    """The abbreviations by the counts of all texts; only tokens that may be some leave the table."""
+    total: dict[str, list[int]] = {}
+    add = [r[:5] for r in read.here if r[0] is not None]
+    if read.there is not None:
+        here = read.there.sparkSession.createDataFrame(add, "name string, dotted long, after long, last long, bare long")
+        every = read.there.filter("name is not null").select(*here.columns).unionByName(here)
+        sums = every.groupBy("name").agg(*[F.sum(c).alias(c) for c in here.columns[1:]])
+        add = sums.filter("dotted >= 5 and 5 * after >= 4 * dotted and dotted >= 3 * bare").collect()
+    for w, *n in add:
+        total[w] = [a + b for a, b in zip(total.get(w, [0] * 4), n)]
+    return frozenset(w for w, n in total.items() if _is_learned(w, *n))
+
+
+def _compose(rows: Iterable[tuple], learned: frozenset, ways: dict, rounds: dict, own: dict[str, list[str]]) -> Iterator[tuple]:
+    """Paragraphs of each text's own sentences as places with their tags, and the different places met."""
+    codes: dict[tuple, int] = {}
+    others = {g: Composer(said, random.Random(0), ways[g]) for g, said in own.items() if g in ways}
+    for group, said in rows:
+        if group not in ways:
+            continue
+        rnd = random.Random(_seed(said))
+        made = Composer(list(said), rnd, ways[group], rounds[group])
+        while made.queue:
+            other = others.get(rnd.choice(sorted(ways)), made)
+            other.rnd = rnd
+            for keys, tags in _marked(made.paragraph(other), learned):
+                yield group, _coded(keys, tags, codes), None
+    for key in codes:
+        yield None, None, repr(key)
+
+
+def _coded(keys: list[tuple], tags: list[str], codes: dict[tuple, int]) -> bytes:
+    for key in keys:
+        if key not in codes:
+            codes[key] = _code(repr(key))
+    return np.array([codes[key] + (tag == "end") for key, tag in zip(keys, tags)], np.uint64).tobytes()
+
+
+def _code(name: str) -> int:
+    """A number for a place by what stands around it, even: one more says that it ends a sentence."""
+    return int.from_bytes(blake2b(name.encode(), digest_size=8).digest(), "little") & ~1
+
+
+def _bare(rows: Iterable[tuple], marked: Segmenter) -> Iterator[tuple]:
+    """Of each text by script the sentences without case, as the field of marks finds them, stripped of their marks."""
+    for part in batched((t for (t,) in rows if _CASELESS.search(t)), 500):
+        for text, found in zip(part, marked.split_all(list(part))):
+            by: dict[str, list[str]] = {}
+            for x in (text[a:b] for a, b in found):
+                said = _stripped(x)[1] if x[-1] in _STOPS else ""
+                if len(said) > 3 and _mostly_caseless(said):
+                    by.setdefault(_group(said), []).append(said)
+            yield from sorted(by.items())
+
+
+def _strung(rows: Iterable[tuple], rounds: dict) -> Iterator[tuple]:
+    """Each text's sentences strung together by one to four, as often as asked; bars stand for their ends."""
+    for group, said in rows:
+        rnd = random.Random(_seed(said))
+        gap = " " if any(" " in x for x in said) else ""
+        for _ in range(rounds[group]):
+            order, k = rnd.sample(list(said), len(said)), 0
+            while k < len(order):
+                n = rnd.randint(1, 4)
+                yield group, "".join(f"{x}|{gap}" for x in order[k : k + n]).encode("utf-32-le"), None
+                k += n
+
+
+def _places(seqs: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots, tags and lengths of coded paragraphs."""
+    flat = np.frombuffer(b"".join(seqs), np.uint64)
+    return np.searchsorted(codes, flat & ~np.uint64(1))[:, None], (flat & np.uint64(1)).astype(np.int64), np.array([len(x) // 8 for x in seqs])
+
+
+def _encoded(rows: Iterable[tuple], places: Callable, weights: dict) -> Iterator[tuple]:
+    for part in batched(((g, seq) for g, seq, *_ in rows if seq is not None), 4_000):
+        yield *places([seq for _, seq in part]), np.array([weights[g] for g, _ in part])
+
+
+def _trained(data: _Rows, places: Callable, weights: dict, features: np.ndarray | None, size: int, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of a field that make the tags of all sequences most likely: each step sums its slope over all of them.
+
+    A slot's weight is that of its features together, where there are any.
+    """
+    data = data.held()
+    here, there = list(_encoded(data.here, places, weights)), _Rows([], data.there)
+    if features is None:  # the slots that are met, each by itself
+        met = there.totals(lambda rows: ((k, 1) for part in _encoded(rows, places, weights) for k in np.unique(part[0]).tolist()), "long")
+        met = np.unique(np.concatenate([np.fromiter(met, np.int64), *(part[0].ravel() for part in here)]))
+        number = len(met)
+    else:
+        number = int(features.max()) + 1
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        t, w = x[-4:].reshape(2, 2), np.zeros(size)
+        at, given = (met, x[:-4]) if features is None else (slice(None), x[:-4][features].sum(axis=1))
+        w[at] = given
+
+        def job(rows: Iterable[tuple]) -> Iterator[tuple[int, int]]:
+            w = np.zeros(size)
+            w[at] = given
+            for part in _encoded(rows, places, weights):
+                yield from chain.sums(*part, w, t)
+
+        total = there.totals(job, "long")
+        for part in here:
+            for k, v in chain.sums(*part, w, t):
+                total[k] += v
+        k = np.fromiter((k for k in total if k >= 0), np.int64)
+        g = np.zeros(size)
+        g[k] = np.array([total[n] for n in k.tolist()]) * chain.UNIT
+        g = g[met] if features is None else np.bincount(features.ravel(), np.repeat(g, features.shape[1]), number)
+        slope = np.append(g, [total[-2 - n] * chain.UNIT for n in range(4)])
+        return total[-1] * chain.UNIT + l2 / 2 * float(x @ x), slope + l2 * x
+
+    x = chain.minimize(value, np.zeros(number + 4), steps)
+    w = x[:-4]
+    if features is None:
+        w = np.zeros(size)
+        w[met] = x[:-4]
+    return w, x[-4:].reshape(2, 2)
+
+
+def fit(texts: list[str]) -> Segmenter:
+    """Both fields, trained on all of the given texts; the same texts give the same fields."""
+    return _fit(_Rows([(t,) for t in texts if t]))
+
+
+def fit_table(documents: DataFrame) -> Segmenter:
+    """Both fields, trained on the texts of all rows."""
+    return _fit(_Rows([], documents.select("text").filter(F.length("text") > 0)))
+
+
+def _fit(texts: _Rows) -> Segmenter:
+    seeds = [(x.replace("|", ""),) for x in SEED_TEXTS]
+    own: dict[str, list[str]] = {}
+    for x in (y.strip() for t in SEED_TEXTS for y in t.split("|")):
+        if len(list(_MARKS.finditer(x))) == 1 and x[-1] in _STOPS:
+            own.setdefault(_group(x), []).extend([x] * 3)
+    read = texts.run(_read, _READ)
+    read.here += [r for r in _read(seeds) if r[0] is not None]
+    learned = _learned(read)
+
+    # the certain sentences of all texts, and how each script is written by all of them
+    said = _Rows([r[5:] for r in read.here if r[5] is not None], None if read.there is None else read.there.filter("grp is not null").select("grp", "said"))
+    said.here += sorted(own.items())
+    ends: dict[str, Counter] = {}
+    for k, n in said.totals(lambda rows: Counter(f"{x[-1]}{' ' in x:d}{g}" for g, s in rows for x in s).items()).items():
+        ends.setdefault(k[2:], Counter())[k[0], k[1] == "1"] += n
+    ways = {g: _ways(c) for g, c in ends.items() if c.total() >= 4}
+    rounds = {g: -(-AT_LEAST // ends[g].total()) for g in ways}
+
+    made = said.run(lambda rows: _compose(rows, learned, ways, rounds, own), _MADE)
+    codes: dict[tuple, int] = {}
+    marked_seeds = [("", _coded(keys, tags, codes), None) for t in SEED_TEXTS for keys, tags in _marked(t, learned)]
+    made.here += [*marked_seeds, *((None, None, repr(key)) for key in codes)]
+    # of bounded number: what is told of a place are a few things of a few kinds each
+    names = sorted(made.totals(lambda rows: ((k, 1) for k in {r[2] for r in rows if r[2] is not None})), key=_code)
+    index: dict[str, int] = {}
+    features = np.array([[index.setdefault(f, len(index)) for f in named(literal_eval(k))] for k in names])
+    hashes = np.array([_code(k) for k in names], np.uint64)
+    sequences = made.totals(lambda rows: Counter(r[0] for r in rows if r[1] is not None).items())
+    weights = {g: WEIGHT * (1 - SEED_SHARE) / len(ways) / n for g, n in sequences.items()} | {"": WEIGHT * SEED_SHARE / len(marked_seeds)}
+    crf = Crf(["in", "end"])
+    w, crf.t = _trained(made, lambda seqs: _places(seqs, hashes), weights, features, len(names), MARKS_L2, MARKS_STEPS)
+    crf.index, crf.w = index, np.stack([np.zeros(len(w)), w], 1)
+
     # whole sentences of scripts without case, as the field of marks finds them, stripped of their marks
     marked = Segmenter(crf, learned, None, 0.0)
-    units = [x for t in [*texts, *[x.replace("|", "") for x in SEED_TEXTS]] if _CASELESS.search(t) for x in (t[a:b] for a, b in marked.split(t)) if x[-1] in _STOPS]
-    bare = [said for x in units if len(said := _stripped(x)[1]) > 3 and sum(map(_caseless, said)) >= 0.8 * sum(map(str.isalpha, said))]
-    rnd.shuffle(bare)
-    if len(bare) < 20:
-        return Segmenter(crf, learned, None, 0.0)
-    by_script: dict[str, list[str]] = {}
-    for x in bare[: max(1, len(bare) * 3 // 4)]:
-        by_script.setdefault(_group(x), []).append(x)
-    scripts = sorted(by_script)
-    chars = CharField([rnd.choices(by_script[scripts[k % len(scripts)]], k=rnd.randint(1, 4)) for k in range(UNMARKED)])
-    # the margin that whole sentences, a quarter of them in no training group, stay under but for a small share
-    gains = sorted(g if c else 0.0 for c, g in map(chars.cuts, bare))
-    return Segmenter(crf, learned, chars, max(0.0, gains[min(len(gains) - 1, int(len(gains) * (1 - CUT_WHOLE)))]))
+    if texts.there is not None:
+        texts = _Rows(texts.here, texts.there.filter(F.col("text").rlike(_CASELESS.pattern)))
+    bare = _Rows([*texts.here, *seeds], texts.there).run(lambda rows: _bare(rows, marked), _SAID)
+    chars = _char_field(bare)
+
+    # the margin that the whole sentences stay under but for a small share, each judged by a field of the other half of the texts
+    steps = Counter()
+    for half in (0, 1):
+        other = _char_field(bare, half)
+        steps += bare.totals(lambda rows: _gains(_half(rows, 1 - half), other), "long")
+    left, over, least = CUT_WHOLE * steps.total(), 0, 0.0
+    for k in sorted(steps, reverse=True):
+        over += steps[k]
+        if over > left:
+            least = k * MARGIN
+            break
+    # too few sentences cannot show so small a share: of n without a cut it may be 3 / n, and gains are logs of odds
+    return Segmenter(crf, learned, chars, least + max(0.0, float(np.log(3 / left))))
+
+
+def _char_field(bare: _Rows, half: int | None = None) -> CharField:
+    """A field of characters trained on the sentences of all texts, or on those of a half."""
+    number = bare.totals(lambda rows: ((g, len(s)) for g, s in _half(rows, half)))
+    strung = bare.run(lambda rows: _strung(_half(rows, half), {g: -(-UNMARKED // n) for g, n in number.items()}), _MADE)
+    sequences = strung.totals(lambda rows: Counter(r[0] for r in rows).items())
+    w, t = _trained(strung, CharField.slots, {g: CHARS_WEIGHT / len(sequences) / n for g, n in sequences.items()}, None, 1 << SLOT_BITS, CHARS_L2, CHARS_STEPS)
+    return CharField(w.astype(np.float32), t)
+
+
+def _half(rows: Iterable[tuple], half: int | None) -> Iterator[tuple]:
+    """The rows of a half of the texts by a hash of their sentences."""
+    return ((g, said) for g, said in rows if half is None or _seed(said) & 1 == half)
+
+
+def _seed(said: list[str]) -> int:
+    """A number of the content alone, the same in whatever task."""
+    return zlib.crc32("\n".join(said).encode())
+
+
+def _gains(rows: Iterable[tuple], chars: CharField) -> Iterator[tuple[int, int]]:
+    """How many whole sentences would be cut at which gain, in steps rounded up."""
+    for part in batched((x for _, s in rows for x in s), 2_000):
+        yield from Counter(max(0, int(np.ceil(gain / MARGIN))) if cuts else 0 for cuts, gain in chars.cuts_all(list(part))).items()
 
 
 def _group(x: str) -> str:
@@ -574,7 +867,7 @@ def _group(x: str) -> str:
 
 
 def sample_documents(documents: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
-    """At most n texts, in the order of a hash of their content: a bounded training sample."""
+    """At most n texts, in the order of a hash of their content: for trials on one machine, no query learns from them."""
     rows = documents.select(F.col("text").alias("t")).filter(F.length("t") > 0)
     return [r[0] for r in bounded_sample(rows, documents.count(), n)]
 
@@ -585,7 +878,8 @@ def sentences(documents: DataFrame, segmenter: Segmenter | None = None, key: str
     Null, empty and blank texts have no sentences; repeated rows are split each; texts of any length are read whole;
     extra columns are left behind. An empty table gives no rows.
     """
-    segmenter = segmenter or fit(sample_documents(documents))
+    rows = enough_tasks(documents.select(key, "text").filter(F.length("text") > 0))
+    segmenter = segmenter or fit_table(rows)
     held = documents.sparkSession.sparkContext.broadcast(segmenter)
 
     def run(batches):
@@ -600,5 +894,4 @@ def sentences(documents: DataFrame, segmenter: Segmenter | None = None, key: str
                     ends.append(y)
             yield from emit(pd.DataFrame({key: pd.Series(ids, dtype=b[key].dtype), "sent_no": pd.Series(nos, dtype="int64"), "start_char": pd.Series(starts, dtype="int64"), "end_char": pd.Series(ends, dtype="int64")}))
 
-    rows = enough_tasks(documents.select(key, "text").filter(F.length("text") > 0))
     return rows.mapInPandas(run, f"{key} {documents.schema[key].dataType.simpleString()}, sent_no long, start_char long, end_char long")

@@ -1,12 +1,13 @@
 """Pair defects, languages, packing, leakage and sentences: known cases, held-out accuracy, edge cases."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import crf, language, leakage, packing, pair_defects, sentences
+from granary.llm import chain, crf, language, leakage, packing, pair_defects, sentences
 from granary.llm.ppm import PpmModels, folded
 from granary.llm.seeds import SEED_TEXTS
 
@@ -422,3 +423,40 @@ def test_paragraphs_of_each_script_come_apart_again(spark, data):
             got = {b for _, b in model.split(plain)}
             right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
         assert right >= 0.97 * wanted and right >= 0.97 * found, (script, right / wanted, right / found)
+
+
+def test_fields_learn_from_every_document(spark, monkeypatch):
+    """An abbreviation of few documents among more than the former sample held."""
+    monkeypatch.setattr(sentences, "AT_LEAST", 1_000)
+    text = "case when id = 8 then 'Kana saw zhq. Beza at home.' when id % 1000 = 7 then concat('Kana has zhq. ', id, ' lamps.') else concat('Beza came to Huye on day ', id, '.') end as text"
+    docs = spark.range(6_000).selectExpr("id as doc_id", text)
+    assert sum("zhq" in t for t in sentences.sample_documents(docs)) < 5
+    assert [tuple(r) for r in sentences.sentences(docs).filter("doc_id = 8").collect()] == [(8, 0, 0, 27)]
+
+
+def test_fields_are_the_same_wherever_they_are_summed(spark, data, monkeypatch):
+    for name, value in (("MARKS_STEPS", 3), ("CHARS_STEPS", 2), ("AT_LEAST", 200), ("UNMARKED", 50)):
+        monkeypatch.setattr(sentences, name, value)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    here = sentences.fit([r["text"] for r in docs.collect()])
+    monkeypatch.setattr(sentences, "HELD", -1)
+    for rows in (docs, docs.repartition(5, "doc_id")):
+        there = sentences.fit_table(rows)
+        assert there.learned == here.learned and there.least == here.least and there.crf.index == here.crf.index
+        assert np.allclose(there.crf.w, here.crf.w) and np.allclose(there.crf.t, here.crf.t) and np.allclose(there.chars.w, here.chars.w)
+
+
+def test_chain_sums_are_those_of_all_tags():
+    """Chances, pairs, loss and best tags against every way to tag, for sequences of unlike length."""
+    rng, sizes = np.random.default_rng(2), np.array([1, 4, 3, 4, 2])
+    d, t = rng.normal(size=sizes.sum()), rng.normal(size=(2, 2))
+    p, pairs, z = chain.marginals(d, sizes, t)
+    best, at = chain.best(d, sizes, t), 0
+    for k, n in enumerate(sizes.tolist()):
+        ways = list(itertools.product((0, 1), repeat=n))
+        score = np.array([sum(d[at + j] * y for j, y in enumerate(ys)) + sum(t[x, y] for x, y in zip(ys, ys[1:])) for ys in ways])
+        each = np.exp(score - np.log(np.exp(score).sum()))
+        assert np.isclose(z[k], np.log(np.exp(score).sum())) and np.allclose(p[at : at + n], each @ np.array(ways))
+        assert np.isclose(pairs[k, 0, 1], sum(e * sum((x, y) == (0, 1) for x, y in zip(ys, ys[1:])) for e, ys in zip(each, ways)))
+        assert tuple(best[at : at + n]) == ways[int(score.argmax())]
+        at += n
